@@ -29,7 +29,7 @@ from nimbusframe.llm.common import TokenTable, is_fold, map_arrow, merged, segme
 from nimbusframe.llm.subwords import tokens_of
 
 #: Parameters.
-SAMPLE, WORDS, GRAMS, LONGEST, SMOOTH = 3000, 30_000, 20_000, 4, 0.5
+SAMPLE, WORDS, GRAMS, LONGEST, SMOOTH, LEAST_SCORE = 3000, 30_000, 20_000, 4, 0.5, 0.3
 LETTERS = regex.compile(r"\p{L}+(?:['’]\p{L}+)*").findall
 
 
@@ -118,32 +118,49 @@ def fit(docs: DataFrame, sample: int = SAMPLE) -> Model:
     return Model(langs, tables[0], tables[1:], totals[0])
 
 
+def judge(m: Model, known: TokenTable, texts: list[str | None]) -> tuple[list[str], np.ndarray]:
+    """Language and score of each text; the score is the posterior share, tempered by length."""
+    k = len(m.langs)
+    at, lengths = known.lookup([tokens_of(t) for t in texts])
+    total = segment(np.add, known.matrix[at], lengths) if len(at) else np.zeros((len(texts), k + 2))
+    letters = total[:, -1] > 0
+    if not k:
+        return ["und"] * len(texts), np.zeros(len(texts))
+    logs = total[:, :k] / np.sqrt(np.maximum(1, total[:, -2:-1]))
+    p = np.exp(logs - logs.max(1, keepdims=True))
+    p /= p.sum(1, keepdims=True)
+    best = np.where(np.ptp(logs, axis=1) > 0, logs.argmax(1), int(m.prior.argmax()))
+    return [m.langs[b] if ok else "und" for b, ok in zip(best, letters, strict=True)], np.where(letters, p[np.arange(len(texts)), best], 0.0)
+
+
 def predict(docs: DataFrame, model: Model) -> DataFrame:
-    """doc_id, lang_pred and score of every document; score is the posterior share, tempered by length."""
+    """doc_id, lang_pred and score of every document."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m = shared.value
-        k = len(m.langs)
-        known = TokenTable(m.token_rows)
+        known = TokenTable(shared.value.token_rows)
         for ids, texts in merged(batches):
-            at, lengths = known.lookup([tokens_of(t) for t in texts])
-            total = segment(np.add, known.matrix[at], lengths) if len(at) else np.zeros((len(ids), k + 2))
-            letters = total[:, -1] > 0
-            if k:
-                logs = total[:, :k] / np.sqrt(np.maximum(1, total[:, -2:-1]))
-                p = np.exp(logs - logs.max(1, keepdims=True))
-                p /= p.sum(1, keepdims=True)
-                best = np.where(np.ptp(logs, axis=1) > 0, logs.argmax(1), int(m.prior.argmax()))
-                lang = [m.langs[b] if ok else "und" for b, ok in zip(best, letters, strict=True)]
-                score = np.where(letters, p[np.arange(len(ids)), best], 0.0)
-            else:
-                lang, score = ["und"] * len(ids), np.zeros(len(ids))
+            lang, score = judge(shared.value, known, texts)
             yield pa.RecordBatch.from_pydict({"doc_id": pa.array(ids, pa.int64()), "lang_pred": pa.array(lang, pa.string()), "score": pa.array(score, pa.float64())})
 
     return map_arrow(docs.select("doc_id", "text"), run, "doc_id long, lang_pred string, score double")
 
 
+def in_known_language(docs: DataFrame, model: Model, least: float = LEAST_SCORE) -> DataFrame:
+    """The rows whose text has a language, with a score of at least ``least``; all columns stay."""
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+    schema = docs.schema
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = TokenTable(shared.value.token_rows)
+        for batch in batches:
+            texts = batch.column(schema.fieldNames().index("text")).to_pylist()
+            lang, score = judge(shared.value, known, texts)
+            yield batch.filter(pa.array([k != "und" and s >= least for k, s in zip(lang, score, strict=True)]))
+
+    return map_arrow(docs, run, schema)
+
+
 def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return predict(docs, fit(docs)).select("doc_id", is_fold(F.col("doc_id"), 4, 2).alias("held_out"), "lang_pred", "score")

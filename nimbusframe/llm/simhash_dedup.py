@@ -238,14 +238,37 @@ def components(nodes: DataFrame, links: DataFrame, most_rounds: int = 60) -> Dat
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """doc_id, fingerprint and component_id of every document."""
-    fps = saved(fingerprints(docs))
+    out = labelled(saved(fingerprints(docs)))
+    return out.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+
+
+def labelled(fps: DataFrame) -> DataFrame:
+    """``fps`` (doc_id and fp, saved) with component_id."""
     nodes = fps.groupBy("fp").agg(F.min("doc_id").alias("rep"))
     root = components(nodes, shard_links(nodes.select("fp")))
     named = nodes.join(root, "fp", "left").select("fp", "rep", F.coalesce("root", "fp").alias("root"))
     name = named.groupBy("root").agg(F.min("rep").alias("component_id"))
     labels = named.join(name, "root").select("fp", "component_id")
-    out = fps.join(labels, "fp")
-    return out.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+    return fps.join(labels, "fp")
+
+
+def one_of_each(docs: DataFrame) -> DataFrame:
+    """One document of each component, with all columns: the one with the smallest id.
+
+    A row with a null id stands behind all ids and is told apart by its text; rows repeated with
+    their id are reduced to one.
+    """
+    behind = F.lit(1 << 61) + F.xxhash64("text").bitwiseAND(F.lit((1 << 61) - 1))
+    keyed = docs.withColumn("__key", F.coalesce(F.col("doc_id").cast("long"), behind, F.lit(1 << 62)))
+    fps = saved(fingerprints(keyed.select(F.col("__key").alias("doc_id"), "text")))
+    keep = labelled(fps).where("doc_id = component_id").select(F.col("doc_id").alias("__key")).distinct()
+    repeated = saved(fps.groupBy("doc_id").count().where("count > 1").select(F.col("doc_id").alias("__key")))
+    kept = keyed.join(keep, "__key", "left_semi")
+    if not repeated.isEmpty():  # only rows repeated with their id meet in one place
+        again = kept.join(repeated, "__key", "left_semi")
+        first = again.dropDuplicates(["__key"])
+        kept = kept.join(repeated, "__key", "left_anti").unionByName(first)
+    return kept.select(*docs.columns)
 
 
 def op1_simhash_bktree(spark: SparkSession, sf_dir: str) -> DataFrame:
