@@ -35,8 +35,8 @@ from xxhash import xxh64_intdigest
 from nimbusframe.llm.common import TokenTable, is_fold, map_arrow, merged, saved, table
 
 #: Parameters: words of one in so many tokens have a class; pairs of words of one in HOT tokens are dealt by row;
-#: discounts up to count CUT; tokens in a block's share of a task; held-out fold.
-VOCABULARY, HOT, CUT, BLOCK, FOLD = 1_000_000, 1000, 5, 3_000_000, (5, 1)
+#: discounts up to count CUT; entries in a block of documents; training tokens to a bucket of pairs; held-out fold.
+VOCABULARY, HOT, CUT, BLOCK, BUCKET, FOLD = 1_000_000, 1000, 5, 1_500_000, 1_500_000, (5, 1)
 END = b"\n"  # no word has white space
 
 
@@ -48,16 +48,19 @@ def words(text: str | None) -> list[bytes]:
     return [*text.encode().lower().split(), END] if text else [END]
 
 
-def packed(*columns: np.ndarray) -> bytes:
-    return zlib.compress(b"".join(c.tobytes() for c in columns), 1)
+def planes(*columns: np.ndarray) -> bytes:
+    """The columns' bytes, those of equal weight together, compressed."""
+    return zlib.compress(b"".join(np.ascontiguousarray(c).view(np.uint8).reshape(-1, c.itemsize).T.tobytes() for c in columns), 1)
 
 
-def unpacked(blob: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """pair, row and times (negative: not of the training rows)."""
+def from_planes(blob: bytes, *kinds: type) -> list[np.ndarray]:
     raw = zlib.decompress(blob)
-    n = len(raw) // 16
-    step = np.frombuffer(raw, dtype=np.int64, count=n)
-    return np.cumsum(step), np.frombuffer(raw, dtype=np.int32, count=n, offset=8 * n), np.frombuffer(raw, dtype=np.int32, count=n, offset=12 * n)
+    sizes = [np.dtype(k).itemsize for k in kinds]
+    n, at, out = len(raw) // sum(sizes), 0, []
+    for k, size in zip(kinds, sizes, strict=True):
+        out.append(np.ascontiguousarray(np.frombuffer(raw, dtype=np.uint8, count=n * size, offset=at).reshape(size, n).T).view(k)[:, 0])
+        at += n * size
+    return out
 
 
 def runs(sorted_values: np.ndarray) -> np.ndarray:
@@ -76,7 +79,7 @@ def count_words(docs: DataFrame) -> DataFrame:
         def out() -> pa.RecordBatch:
             return pa.RecordBatch.from_pydict({"h": pa.array(h), "c": pa.array(c)})
 
-        for _, texts in merged(batches, 8_000_000):
+        for _, texts in merged(batches):
             at, _ = known.lookup([words(t) for t in texts])
             times = np.bincount(at, minlength=len(known))
             some = np.flatnonzero(times)
@@ -85,7 +88,7 @@ def count_words(docs: DataFrame) -> DataFrame:
             every, n = every[order], n[order]
             start = runs(every)
             h, c = every[start], np.add.reduceat(n, start)
-            if len(h) > 2_000_000:
+            if len(h) > 1_000_000:
                 yield out()
                 h, c = h[:0], c[:0]
         if len(h):
@@ -156,7 +159,7 @@ def blocks(docs: DataFrame, lower: Lower, buckets: int) -> DataFrame:
                 out["kind"].append(1)
                 out["bucket"].append(int(bucket[s]))
                 out["first"].append(first + low_row)
-                out["blob"].append(packed(step, (at[s:e] - low_row).astype(np.int32), times[s:e].astype(np.int32)))
+                out["blob"].append(planes(step, (at[s:e] - low_row).astype(np.int32), times[s:e].astype(np.int32)))
             some = hot & (times > 0)
             if some.any():
                 p, back = np.unique(pair[some], return_inverse=True)
@@ -183,7 +186,7 @@ def blocks(docs: DataFrame, lower: Lower, buckets: int) -> DataFrame:
             rare_h = h[rare]
             ones = np.ones(len(ids), dtype=np.int64)
             yield frame({
-                "kind": (0 * ones).tolist(), "bucket": (0 * ones).tolist(), "first": (first + row + np.arange(len(ids))).tolist(), "doc_id": ids, "held_out": held.tolist(),
+                "kind": (0 * ones).tolist(), "bucket": ((row + np.arange(len(ids))) % buckets).tolist(), "first": (first + row + np.arange(len(ids))).tolist(), "doc_id": ids, "held_out": held.tolist(),
                 "n_tokens": lengths.tolist(), "n_known": np.bincount(owner[~rare], minlength=len(ids)).tolist(), "base": base.tolist(),
                 "rare": [rare_h[s:e] for s, e in zip(edges[:-1], edges[1:], strict=True)],
             })
@@ -205,16 +208,17 @@ def blocks(docs: DataFrame, lower: Lower, buckets: int) -> DataFrame:
             yield from block_rows()
 
     schema = "kind int, bucket int, first long, blob binary, doc_id long, held_out boolean, n_tokens long, n_known long, base double, rare array<long>"
-    return saved(map_arrow(docs.select("doc_id", "text"), run, schema))
+    made = map_arrow(docs.select("doc_id", "text"), run, schema)
+    return saved(made.repartitionById(buckets, "bucket").sortWithinPartitions("kind", "bucket"))
 
 
 def bucket_entries(blobs: list[tuple[int, bytes]]) -> tuple[np.ndarray, ...]:
-    """Everything in a bucket: pair types, their training counts, and each entry's type, row and times."""
-    parts = [(p, first + at.astype(np.int64), t) for first, b in blobs for p, at, t in [unpacked(b)]]
-    pair, row, times = (np.concatenate(c) for c in zip(*parts, strict=True))
+    """Everything in a bucket: pair types, their training counts, and each entry's type, row in its block and times, blob after blob; the blobs' lengths."""
+    parts = [from_planes(b, np.int64, np.int32, np.int32) for _, b in blobs]
+    pair, row, times = (np.concatenate(c) for c in zip(*([np.cumsum(p), at, t] for p, at, t in parts), strict=True))
     types, back = np.unique(pair, return_inverse=True)
     counts = np.bincount(back, weights=np.maximum(times, 0), minlength=len(types)).astype(np.int64)
-    return types, counts, back, row, np.abs(times)
+    return types, counts, back, row, np.abs(times), np.array([len(p[0]) for p in parts])
 
 
 def by_bucket(batches: Iterator[pa.RecordBatch]) -> Iterator[list[tuple[int, bytes]]]:
@@ -285,10 +289,9 @@ def score_documents(docs: DataFrame) -> DataFrame:
     spark = docs.sparkSession
     counts = count_words(docs)
     low = fit_lower(counts)
-    n_buckets = max(8, low.n // 2_000_000)
+    n_buckets = max(8, low.n // BUCKET)
     made = blocks(docs, low, n_buckets)
-    pairs = made.where("kind = 1").select("bucket", "first", "blob").repartition(min(n_buckets, 20_000), "bucket").sortWithinPartitions("bucket")
-    pairs = saved(pairs)
+    pairs = made.where("kind = 1").select("bucket", "first", "blob")
 
     # Hot pairs' training counts: at most HOT * HOT numbers.
     def open_hot(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -325,14 +328,40 @@ def score_documents(docs: DataFrame) -> DataFrame:
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         low = shared.value[0]
         for blobs in by_bucket(batches):
-            types, c, back, row, times = bucket_entries(blobs)
+            types, c, back, row, times, sizes = bucket_entries(blobs)
             is_hot, known, hot_c = hot_at(types)
             c = np.where(is_hot, np.where(known, hot_c, 0), c)
             logs = ctx.value.log10(types, c, low)[back] * times
-            rows, at = np.unique(row, return_inverse=True)
-            yield pa.RecordBatch.from_pydict({"first": pa.array(rows), "part": pa.array(np.bincount(at, weights=logs))})
-
-    scores = map_arrow(pairs, score, "first long, part double")
+            out: dict[str, list] = {"first": [], "blob": []}
+            edges = np.concatenate([[0], np.cumsum(sizes)])
+            for k, (first, _) in enumerate(blobs):  # the parts go back by block, packed
+                own = slice(edges[k], edges[k + 1])
+                sums = np.bincount(row[own], weights=logs[own])
+                some = np.unique(row[own])
+                out["first"].append(first)
+                out["blob"].append(planes(some.astype(np.int32), sums[some]))
+            yield pa.RecordBatch.from_pydict({"first": pa.array(out["first"], pa.int64()), "blob": pa.array(out["blob"], pa.binary())})
+
+    def add_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def rows(block: int, total: np.ndarray) -> pa.RecordBatch:
+            some = np.flatnonzero(total)
+            return pa.RecordBatch.from_pydict({"first": pa.array(block + some), "part": pa.array(total[some])})
+
+        block, total = None, np.zeros(0)
+        for batch in batches:
+            for first, blob in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                if first != block:
+                    if block is not None:
+                        yield rows(block, total)
+                    block, total = first, np.zeros(0)
+                at, part = from_planes(blob, np.int32, np.float64)
+                if at[-1] >= len(total):
+                    total = np.concatenate([total, np.zeros(at[-1] + 1 - len(total))])
+                total[at] += part
+        if block is not None:
+            yield rows(block, total)
+
+    scores = map_arrow(map_arrow(pairs, score, "first long, blob binary").repartition("first").sortWithinPartitions("first"), add_up, "first long, part double")
     each = made.where("kind = 0").select("first", "doc_id", "held_out", "n_tokens", "n_known", "base", "rare")
     rare = each.select("first", F.explode("rare").alias("h")).join(counts, "h", "left")
     logs = F.log10((F.coalesce("c", F.lit(0)) + 0.5) / low.d)
