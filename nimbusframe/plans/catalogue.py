@@ -1,4 +1,211 @@
 """Named queries over the driver's tables, and the same in SQL."""
 
-QUERIES: dict = {}
-ORACLE_SQL: dict = {}
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from nimbusframe.functions import georef as G
+from nimbusframe.functions import moments as M
+from nimbusframe.operators import rays as R
+from nimbusframe.operators import spatial as S
+from nimbusframe.plans.views import SQL, dualpol, gap_sweep, gauges, grid, interpolated, sweep, table
+from nimbusframe.streaming.accumulate import accumulate
+
+Query = Callable[[SparkSession, str], DataFrame]
+QUERIES: dict[str, Query] = {}
+ORACLE_SQL: dict[str, str] = {}
+
+
+def register(name: str, query: Query, sql: str | None = None) -> None:
+    QUERIES[name] = query
+    if sql:
+        ORACLE_SQL[name] = sql
+
+
+def r6(v: Column, name: str) -> Column:
+    """Rounded for comparison, with zero unsigned."""
+    return (F.round(v, 6) + F.lit(0.0)).alias(name)
+
+
+def gatewise(name: str, view: Callable[..., DataFrame], cte: str, rows: str, columns: dict[str, tuple[Column, str]]) -> None:
+    """A query of Column functions on every gate; SQL beside each."""
+    register(
+        name,
+        lambda s, d: view(s, d).select("ray", "bin", *[r6(c, n) for n, (c, _) in columns.items()]),
+        f"WITH {SQL[cte]} SELECT ray, bin, " + ", ".join(f"round({q}, 6)+0.0::DOUBLE AS {n}" for n, (_, q) in columns.items()) + f" FROM {rows}",
+    )
+
+
+Z = "pow(10, dbz/10)"
+KM = "((bin+1)*0.25)"
+RANGE = (F.col("bin") + 1) * 250.0
+RNG = "((bin+1)*250.0::DOUBLE)"
+EL = (F.col("ray") % 10 + 0.5).cast("double")
+ELQ = "(ray % 10 + 0.5::DOUBLE)"
+AZ = F.col("ray") + 0.5
+REFF = "(4.0::DOUBLE/3*6371000)"
+
+register(
+    "zr_rain_depth",
+    lambda s, d: sweep(s, d).groupBy("ray").agg(F.sum(F.round(M.r_to_depth(M.z_to_r(M.idecibel("dbz")), 300), 6).cast("decimal(18,6)")).cast("double").alias("depth"), F.count("*").alias("n")),
+    f"WITH {SQL['sw']} SELECT ray, sum(round(pow({Z}/200.0, 1/1.6)*300/3600.0, 6)::DECIMAL(18,6))::DOUBLE AS depth, count(*) AS n FROM sw GROUP BY ray",
+)
+gatewise("zr_roundtrip", sweep, "sw", "sw", {"rate": (M.z_to_r(M.idecibel("dbz")), f"pow({Z}/200.0, 1/1.6)"), "back": (M.decibel(M.r_to_z(M.z_to_r(M.idecibel("dbz")))), f"10*log10(200.0*pow(pow({Z}/200.0, 1/1.6), 1.6))"), "from_rvp": (M.rvp_to_dbz(F.col("bin")), "bin*0.5::DOUBLE-32.5")})
+gatewise("unit_conversions", sweep, "sw", "sw", {
+    "kmh": (M.si_to_kmh("dbz"), "dbz*3.6"), "mph": (M.si_to_mph("dbz"), "dbz*3600/1609.344"), "kts": (M.si_to_kts("dbz"), "dbz*3600/1852"),
+    "si_kmh": (M.kmh_to_si("dbz"), "dbz/3.6"), "si_mph": (M.mph_to_si("dbz"), "dbz*1609.344/3600"), "si_kts": (M.kts_to_si("dbz"), "dbz*1852/3600"),
+})
+gatewise("polynomial", sweep, "sw", "sw", {"ku": (M.polynomial("dbz", [0.185074, 1.01378, -0.00189212]), "0.185074 + 1.01378*dbz - 0.00189212*dbz*dbz")})
+gatewise("kdp_rain", dualpol, "dp", "dp", {"rate": (M.kdp_to_r("zdr", 9.45), "sign(zdr)*129*pow(abs(zdr)/9.45, 0.85)")})
+LZ, MM = "pow(10, zdr/10)", "(2*rho*sqrt(pow(10, zdr/10)))"
+gatewise("depolarization", dualpol, "dp", "dp", {"dr": (M.depolarization("zdr", "rho"), f"CASE WHEN (1+{LZ}-{MM})/(1+{LZ}+{MM}) > 0 THEN 10*log10((1+{LZ}-{MM})/(1+{LZ}+{MM})) END")})
+gatewise("rhohv_nc", dualpol, "dp", "dp", {"rho_nc": (M.rhohv_noise_correction("rho", "dbz"), "rho*sqrt(1+1/pow(10, dbz/10))")})
+ALT = f"(sqrt({RNG}*{RNG}+({REFF}+100)*({REFF}+100)+2*{RNG}*({REFF}+100)*sin(radians({ELQ})))-{REFF})"
+gatewise("beam_geometry", sweep, "sw", "sw", {
+    "altitude": (G.bin_altitude(RANGE, EL, 100.0), ALT),
+    "distance": (G.bin_distance(RANGE, EL, 100.0), f"{REFF}*atan({RNG}*cos(radians({ELQ}))/({RNG}*sin(radians({ELQ}))+{REFF}+100))"),
+    "ground": (G.site_distance(RANGE, EL, G.bin_altitude(RANGE, EL, 100.0)), f"{REFF}*asin({RNG}*cos(radians({ELQ}))/({REFF}+{ALT}))"),
+})
+GD = f"({REFF}*asin({RNG}*cos(radians({ELQ}))/({REFF}+{ALT})))"
+X, Y, ZZ = G.spherical_to_xyz(RANGE, AZ, EL, 100.0)
+gatewise("beam_xyz", sweep, "sw", "sw", {"x": (X, f"{GD}*cos(radians(90-(ray+0.5::DOUBLE)))"), "y": (Y, f"{GD}*sin(radians(90-(ray+0.5::DOUBLE)))"), "z": (ZZ, ALT)})
+BR, BP, BT = G.xyz_to_spherical(X, Y, ZZ, 100.0)
+register("xyz_roundtrip", lambda s, d: sweep(s, d).select("ray", "bin", F.round(BR, 3).alias("r"), F.round(BP, 6).alias("phi"), F.round(BT, 6).alias("theta")), f"WITH {SQL['sw']} SELECT ray, bin, round({RNG}, 3) AS r, round(ray+0.5::DOUBLE, 6) AS phi, round({ELQ}, 6) AS theta FROM sw")
+SX, SY = G.lonlat_to_stereographic(F.col("x") / 5 + 5, F.col("y") / 10 + 47)
+LOB, LAB = G.stereographic_to_lonlat(SX, SY)
+MQ = "(6370.040::DOUBLE*(1+sin(radians(60)))/(1+sin(radians(y/10+47)))*cos(radians(y/10+47)))"
+register("radolan_xy", lambda s, d: gauges(s, d).select("k", r6(SX, "sx"), r6(SY, "sy"), r6(LOB, "lon"), r6(LAB, "lat")), f"WITH {SQL['g']} SELECT k, round({MQ}*sin(radians(x/5+5-10)), 6) AS sx, round(-{MQ}*cos(radians(x/5+5-10)), 6) AS sy, round(x/5+5, 6) AS lon, round(y/10+47, 6) AS lat FROM g")
+gatewise("pulse_volume", sweep, "sw", "sw", {"volume": (M.pulse_volume(RANGE, 150.0, 1.0) / 1e6, f"pi()*150*{RNG}*{RNG}*pow(tan(radians(0.5)), 2)/1e6"), "radius": (M.half_power_radius(RANGE, 1.0), f"{RNG}*radians(1.0)/2")})
+gatewise("snr", sweep, "sw", "sw", {"snr": (M.snr("dbz", RANGE, -10.0, 0.016), f"dbz-20*log10({KM})+10-0.016*{KM}")})
+SB = "((dbz-30)/20)"
+PBB = f"CASE WHEN {SB} < -1 THEN 0 WHEN {SB} > 1 THEN 1 ELSE ({SB}*sqrt(greatest(400-(dbz-30)*(dbz-30), 0))+20*asin(greatest(least({SB}, 1), -1))+pi()*10)/(pi()*20) END"
+PB = M.beam_block_frac("dbz", F.lit(30.0), F.lit(20.0))
+gatewise("beam_block", sweep, "sw", "sw", {"pbb": (PB, PBB)})
+gatewise("cum_beam_block", sweep, "sw", "sw", {"cbb": (F.max(PB).over(R.along([]).rowsBetween(Window.unboundedPreceding, 0)), f"max({PBB}) OVER (PARTITION BY ray ORDER BY bin)")})
+gatewise("trapezoid", sweep, "sw", "sw", {"m": (M.trapezoid("dbz", 5, 15, 30, 50), "CASE WHEN dbz BETWEEN 15 AND 30 THEN 1 WHEN dbz > 5 AND dbz < 15 THEN (dbz-5)/10 WHEN dbz > 30 AND dbz < 50 THEN (50-dbz)/20 ELSE 0 END")})
+register("cloudtype", lambda s, d: sweep(s, d).select("ray", "bin", (M.no_rain_cloud(F.col("bin") % 20, low=True) & (F.col("dbz") > 0)).alias("clutter")), f"WITH {SQL['sw']} SELECT ray, bin, (bin % 20 IN (1,2,5,6,7) AND dbz > 0) AS clutter FROM sw")
+FZ = M.weighted_membership([(1 - M.trapezoid("zdr", -1, 0, 1, 3), 0.4), (1 - M.trapezoid("rho", 0.7, 0.8, 0.95, 1.0), 0.4), (1 - M.trapezoid("phi", -180, -90, 90, 180), 0.1)])
+TR = lambda v, a, b, c, d: f"(1-CASE WHEN {v} BETWEEN {b} AND {c} THEN 1 WHEN {v} > {a} AND {v} < {b} THEN ({v}-({a}))/({b}-({a})) WHEN {v} > {c} AND {v} < {d} THEN ({d}-{v})/({d}-({c})) ELSE 0 END)"
+gatewise("fuzzy_echo", dualpol, "dp", "dp", {"p": (FZ, f"(0.4*{TR('zdr', '-1', '0', '1', '3')}+0.4*{TR('rho', '0.7', '0.8', '0.95', '1.0')}+0.1*{TR('phi', '-180', '-90', '90', '180')})/0.9")})
+gatewise("covariograms", sweep, "sw", "sw", {
+    "nug": (M.covariance("nug", "dbz", 2, 5), "CASE WHEN dbz <= 5 THEN 2 ELSE 0 END"), "expo": (M.covariance("exp", "dbz", 2, 20), "2*exp(-dbz/20)"),
+    "sph": (M.covariance("sph", "dbz", 2, 20), "CASE WHEN dbz < 20 THEN 2*(1-1.5*dbz/20+pow(dbz/20, 3)/2) ELSE 0 END"), "gau": (M.covariance("gau", "dbz", 2, 20), "2*exp(-pow(dbz/20, 2))"),
+    "lin": (M.covariance("lin", "dbz", 2, 20), "CASE WHEN dbz < 20 THEN 2*(1-dbz/20) ELSE 0 END"), "power": (M.covariance("pow", "dbz", 2, 0.5), "2-pow(dbz, 0.5)"), "cau": (M.covariance("cau", "dbz", 2, 20, alpha=1.5, beta=2.0), "2*pow(1+pow(dbz/20, 1.5), -2.0/1.5)"),
+})
+register("earth_radius", lambda s, d: gauges(s, d).select("k", F.round(G.earth_radius(F.col("y") / 10 + 40), 3).alias("radius"), r6(G.angle_between(F.col("x") * 9, F.col("y") * 7), "angle"), G.srtm_tile(F.col("x") - 20, F.col("y") / 10 - 2).alias("tile")), f"WITH {SQL['g']}, t AS (SELECT *, pow(cos(radians(y/10+40)), 2) AS c2, pow(sin(radians(y/10+40)), 2) AS s2, floor(x-20)::INT AS tx, floor(y/10-2)::INT AS ty FROM g) SELECT k, round(sqrt((pow(6378137.0::DOUBLE,4)*c2+pow(6356752.314245179::DOUBLE,4)*s2)/(pow(6378137.0::DOUBLE,2)*c2+pow(6356752.314245179::DOUBLE,2)*s2)), 3) AS radius, round(degrees(atan2(sin(radians(y*7-x*9)), cos(radians(y*7-x*9)))), 6) AS angle, CASE WHEN ty >= 0 THEN 'N' ELSE 'S' END || lpad(abs(ty)::VARCHAR, 2, '0') || CASE WHEN tx >= 0 THEN 'E' ELSE 'W' END || lpad(abs(tx)::VARCHAR, 3, '0') AS tile FROM t")
+
+# along rays
+W = "OVER (PARTITION BY ray ORDER BY bin"
+gatewise("pia_kdp", dualpol, "dp", "dp", {"pia": (R.pia_from_kdp(F.col("zdr"), 0.25, []), f"2*(sum(0.08*zdr) {W}))*0.25")})
+gatewise("phidp_from_kdp", dualpol, "dp", "dp", {"phidp": (R.phidp_from_kdp(F.col("zdr"), 0.25, []), f"2*(sum(zdr) {W})-zdr/2-first_value(zdr) {W})/2)*0.25")})
+gatewise("despeckle", gap_sweep, "gap", "sw", {"v3": (R.despeckle(F.col("dbz"), [], 3), f"CASE WHEN count(dbz) {W} ROWS BETWEEN 1 PRECEDING AND 1 FOLLOWING) <> 1 THEN dbz END"), "v5": (R.despeckle(F.col("dbz"), [], 5), f"CASE WHEN count(dbz) {W} ROWS BETWEEN 2 PRECEDING AND 2 FOLLOWING) <> 1 THEN dbz END")})
+gatewise("gradient", gap_sweep, "gap", "sw", {"g": (R.gradient(F.col("dbz"), []), f"CASE WHEN row_number() {W}) = 1 THEN lead(dbz) {W})-dbz WHEN lead(1) {W}) IS NULL THEN dbz-lag(dbz) {W}) ELSE (lead(dbz) {W})-lag(dbz) {W}))/2 END")})
+FL = f"sw2 AS (SELECT *, last_value(dbz IGNORE NULLS) {W}) AS v0, last_value(CASE WHEN dbz IS NOT NULL THEN bin END IGNORE NULLS) {W}) AS b0, first_value(dbz IGNORE NULLS) {W} ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS v1, first_value(CASE WHEN dbz IS NOT NULL THEN bin END IGNORE NULLS) {W} ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS b1 FROM sw)"
+register("fill_sweep", lambda s, d: gap_sweep(s, d).select("ray", "bin", r6(R.fill_linear(F.col("dbz"), []), "v")), f"WITH {SQL['gap']}, {FL} SELECT ray, bin, round(coalesce(dbz, v0+(v1-v0)*((bin-b0)/nullif(b1-b0, 0)), v0, v1), 6) AS v FROM sw2")
+DL = ", ".join(["l AS (SELECT ray, max(bin) AS last FROM sw GROUP BY ray)", "o AS (SELECT unnest([-3,-2,-1,1,2,3]) AS k)", "m AS (SELECT sw.ray, sw.bin, k, CASE WHEN sw.bin+k < 0 THEN -(sw.bin+k) WHEN sw.bin+k > last THEN 2*last-sw.bin-k ELSE sw.bin+k END AS at FROM sw JOIN l USING (ray), o)", "j AS (SELECT m.ray, m.bin, sum(k*dbz)*3.0/(3*4*7) AS s, count(dbz) AS n FROM m LEFT JOIN sw ON sw.ray = m.ray AND sw.bin = m.at GROUP BY 1, 2)"])
+register("derivate_lanczos", lambda s, d: gap_sweep(s, d).select("ray", "bin", r6(R.derivate_lanczos(F.col("dbz"), []), "slope"), r6(R.derivate_lanczos(F.col("dbz"), []) / 2 / 0.25, "kdp")), f"WITH {SQL['gap']}, {DL} SELECT ray, bin, CASE WHEN n = 6 AND dbz IS NOT NULL THEN round(s, 6) END AS slope, CASE WHEN n = 6 AND dbz IS NOT NULL THEN round(s/2/0.25, 6) END AS kdp FROM sw JOIN j USING (ray, bin)")
+UF = f"a AS (SELECT *, coalesce(min(CASE WHEN zdr*20 < 0-15 THEN bin END) OVER (PARTITION BY ray), max(bin) OVER (PARTITION BY ray)) AS b, max(phi) OVER (PARTITION BY ray) AS top FROM dp), u AS (SELECT *, CASE WHEN bin > b THEN phi+360 ELSE phi END AS p FROM a)"
+register("unfold_phi", lambda s, d: dualpol(s, d).select("ray", "bin", r6(R.unfold_phi(F.col("phi"), F.col("zdr") * 20, [], -15.0), "phi")), f"WITH {SQL['dp']}, {UF} SELECT ray, bin, round(CASE WHEN bin <= b+7 AND p > top+180 THEN p-360 ELSE p END, 6) AS phi FROM u")
+register("sysphi_first", lambda s, d: R.first_valid_phase(gap_sweep(s, d), "dbz", [], 5).select("ray", r6(F.col("sysphi_ray"), "sysphi_ray"), "valid_bins"), f"WITH {SQL['gap']}, v AS (SELECT ray, dbz, row_number() {W}) AS k FROM sw WHERE dbz IS NOT NULL) SELECT ray, round(median(dbz), 6) AS sysphi_ray, count(*) AS valid_bins FROM v WHERE k <= 5 GROUP BY ray HAVING count(*) = 5")
+PW = f"c AS (SELECT *, CASE WHEN row_number() {W}) >= 5 THEN count(dbz) {W} ROWS BETWEEN 4 PRECEDING AND CURRENT ROW) END AS n FROM sw), e AS (SELECT ray, max(n) AS most FROM c GROUP BY ray HAVING max(n) IS NOT NULL), f AS (SELECT c.ray, most, min(bin) AS fe, max(bin) AS le FROM c JOIN e ON c.ray = e.ray AND n = most GROUP BY 1, 2)"
+MED = lambda e: f"(SELECT median(dbz) FROM sw WHERE sw.ray = f.ray AND bin > {e}-5 AND bin <= {e})"
+register("delta_phidp", lambda s, d: R.phi_windows(gap_sweep(s, d), "dbz", [], 5).select("ray", "most", "first_end", "last_end", r6(F.col("first"), "first"), r6(F.col("last"), "last"), r6(F.col("last") - F.col("first"), "dphi")), f"WITH {SQL['gap']}, {PW} SELECT ray, most, fe AS first_end, le AS last_end, round({MED('fe')}, 6) AS first, round({MED('le')}, 6) AS last, round({MED('le')}-{MED('fe')}, 6) AS dphi FROM f")
+register("sysphi_block", lambda s, d: R.system_phase(R.phi_windows(gap_sweep(s, d), "dbz", [], 4).where("most = 4"), "first", []).select(r6(F.col("sysphi"), "sysphi")), f"WITH {SQL['gap']}, {PW.replace('>= 5', '>= 4').replace('4 PRECEDING', '3 PRECEDING')}, m AS (SELECT ray, {MED('fe').replace('-5', '-4')} AS v FROM f WHERE most = 4), k AS (SELECT v FROM m ORDER BY v, ray LIMIT 30) SELECT round(median(v), 6) AS sysphi FROM k")
+register("sysphi_window", lambda s, d: R.system_phase(R.phi_windows(gap_sweep(s, d), "dbz", [], 5), "first", []).select(r6(F.col("sysphi"), "sysphi")), f"WITH {SQL['gap']}, {PW}, m AS (SELECT ray, {MED('fe')} AS v FROM f), k AS (SELECT v FROM m WHERE v IS NOT NULL ORDER BY v, ray LIMIT 30) SELECT round(median(v), 6) AS sysphi FROM k")
+
+# neighbourhoods
+NB = "o AS (SELECT r.k AS dr, c.k AS db FROM (SELECT unnest([-1,0,1]) AS k) r, (SELECT unnest([-1,0,1]) AS k) c), s AS (SELECT ray, bin, dbz, dr, db, (ray+dr+360) % 360 AS r2, bin+db AS b2 FROM sw, o), nb AS (SELECT s.*, sw.dbz AS v FROM s LEFT JOIN sw ON sw.ray = r2 AND sw.bin = b2)"
+register("texture", lambda s, d: R.texture(gap_sweep(s, d), "dbz", []).select("ray", "bin", r6(F.col("texture"), "texture")), f"WITH {SQL['gap']}, {NB} SELECT ray, bin, CASE WHEN any_value(dbz) IS NOT NULL AND count(v) FILTER (dr <> 0 OR db <> 0) > 0 THEN round(sqrt(sum((v-dbz)*(v-dbz)) FILTER (dr <> 0 OR db <> 0)/count(v) FILTER (dr <> 0 OR db <> 0)), 6) END AS texture FROM nb GROUP BY ray, bin")
+DF = lambda r1, b1, r2, b2: f"coalesce(abs(max(v) FILTER (dr = {r1} AND db = {b1}) - max(v) FILTER (dr = {r2} AND db = {b2})), 0)"
+SIQ = "+".join([DF(r, b, r, b + 1) for r in (-1, 0, 1) for b in (-1, 0)] + [DF(r, b, r + 1, b) for b in (-1, 0, 1) for r in (-1, 0)])
+ENH = f"{NB}, e AS (SELECT ray, min(bin) AS b0, max(bin) AS b1 FROM sw GROUP BY ray), q AS (SELECT ray, bin, any_value(dbz) AS dbz, {SIQ} AS t FROM nb GROUP BY ray, bin), w AS (SELECT ray, bin, dbz, pow(10, dbz/10) AS z, CASE WHEN dbz >= 36.5 THEN -1 ELSE t/CASE WHEN bin IN (b0, b1) THEN 7 ELSE 12 END END AS si FROM q JOIN e USING (ray))"
+ZR = lambda a, b: f"pow(z/{a}, 1/{b})"
+register(
+    "zr_enhanced",
+    lambda s, d: R.z_to_r_enhanced(sweep(s, d).withColumn("dbz", F.col("dbz") + 0.05).withColumn("z", M.idecibel("dbz")), "z", []).select("ray", "bin", F.round("si", 4).alias("si"), F.round("rr", 5).alias("rr")),
+    f"WITH {SQL['sw'].replace('% 60 AS', '% 60 + 0.05 AS')}, {ENH} SELECT ray, bin, round(si, 4) AS si, round(CASE WHEN dbz > 44 THEN {ZR('77.0', '1.9')} WHEN dbz >= 36.5 THEN {ZR('200.0', '1.6')} WHEN si BETWEEN 3.5 AND 7.5 THEN {ZR('200.0', '1.6')} WHEN si > 7.5 AND si < 36.5 THEN {ZR('320.0', '1.4')} WHEN si < 3.5 THEN {ZR('125.0', '1.4')} ELSE 0 END, 5) AS rr FROM w",
+)
+
+
+def _gabella(s: SparkSession, d: str) -> DataFrame:
+    v = sweep(s, d)
+    n = v.agg(F.max("bin") + 1).first()[0]
+    return R.similar_neighbours(v, "dbz", [], 360, n, 5, 6.0).select("ray", "bin", "similar")
+
+
+register("gabella_a", _gabella, f"WITH {SQL['sw']}, n AS (SELECT max(bin)+1 AS nb FROM sw), o AS (SELECT r.k AS dr, c.k AS db FROM (SELECT unnest([-2,-1,0,1,2]) AS k) r, (SELECT unnest([-2,-1,0,1,2]) AS k) c), s AS (SELECT ray, bin, dbz, (ray-dr+360) % 360 AS r2, (bin-db+nb) % nb AS b2, nb FROM sw, o, n), h AS (SELECT s.ray, s.bin, any_value(nb) AS nb, count(*) FILTER (s.dbz-sw.dbz < 6)-1 AS c FROM s LEFT JOIN sw ON sw.ray = r2 AND sw.bin = b2 GROUP BY 1, 2) SELECT ray, bin, CASE WHEN bin < 2 OR bin >= nb-2 THEN 25 ELSE c END AS similar FROM h")
+
+# recurrences
+REC = f"WITH RECURSIVE {SQL['att']}, p AS (SELECT ray, bin, 0.0::DOUBLE AS pia FROM sw WHERE bin = 0 UNION ALL SELECT sw.ray, p.bin+1, p.pia+1.67e-4*pow(pow(10, (sw.dbz+p.pia)/10), 0.7)*2 FROM p JOIN sw ON sw.ray = p.ray AND sw.bin = p.bin JOIN sw nx ON nx.ray = p.ray AND nx.bin = p.bin+1)"
+_ray = lambda s, d: R.packed(sweep(s, d, 40.0), "dbz", []).withColumn("pia", R.attenuation_forward(F.col("values")))
+register("attenuation_forward", lambda s, d: _ray(s, d).select("ray", F.posexplode("pia").alias("b", "p")).select("ray", F.col("b").cast("long").alias("bin"), r6(F.col("p"), "pia")), f"{REC} SELECT ray, bin, round(pia, 6) AS pia FROM p")
+register("attenuation_hb_nan", lambda s, d: _ray(s, d).select("ray", F.posexplode(R.attenuation_overflow(F.col("values"), F.col("pia"), 39.0)).alias("b", "p")).select("ray", F.col("b").cast("long").alias("bin"), r6(F.col("p"), "pia")), f"{REC} SELECT ray, bin, round(CASE WHEN bin > 0 AND dbz+pia > 39 THEN NULL ELSE pia END, 6) AS pia FROM p JOIN sw USING (ray, bin)")
+register("radome", lambda s, d: R.radome_attenuation(sweep(s, d).withColumn("sweep", F.col("ray") % 6), "dbz", ["sweep"]).select("sweep", r6(F.col("k"), "k")), f"WITH {SQL['sw']} SELECT ray % 6 AS sweep, round(2*0.165*pow(pow(10, avg(dbz)/10)/200.0, 1/1.6)*pow(tanh(0.564), 2), 6) AS k FROM sw WHERE bin < 2 GROUP BY 1")
+
+# composites, grids, zones
+
+
+def _radars(s: SparkSession, d: str) -> DataFrame:
+    e = table(s, d, "events")
+    return e.select((F.col("event_id") % 97).alias("cell"), (F.col("user_id") % 5).alias("radar"), F.when(F.col("event_type") != "click", F.col("value")).alias("value"), (F.col("event_id") % 11).cast("double").alias("quality")).groupBy("cell", "radar").agg(F.max("value").alias("value"), F.min("quality").alias("quality"))
+
+
+RD = "rd AS (SELECT event_id % 97 AS cell, user_id % 5 AS radar, max(CASE WHEN event_type <> 'click' THEN value END) AS value, min((event_id % 11)::DOUBLE) AS quality FROM events GROUP BY 1, 2)"
+register("compose_ko", lambda s, d: S.compose_ko(_radars(s, d), ["cell"]), f"WITH {RD}, k AS (SELECT *, row_number() OVER (PARTITION BY cell ORDER BY quality DESC, radar) AS n FROM rd) SELECT cell, value FROM k WHERE n = 1")
+register("compose_weighted", lambda s, d: S.compose_weighted(_radars(s, d), ["cell"]).select("cell", r6(F.col("value"), "value")), f"WITH {RD} SELECT cell, round(sum(value*quality)/nullif(sum(CASE WHEN value IS NOT NULL THEN quality END), 0), 6) AS value FROM rd GROUP BY cell")
+register("rect_bin", lambda s, d: S.rect_bin(grid(s, d).withColumn("value", F.col("raw")), 0, 0, 7.0, 9.0, 7, 20).select("col", "row", r6(F.col("value"), "value"), "n"), f"WITH {SQL['r']}, b AS (SELECT CASE WHEN x = 49 THEN 6 ELSE floor(x/7.0)::BIGINT END AS col, CASE WHEN y = 180 THEN 19 ELSE floor(y/9.0)::BIGINT END AS row, raw FROM r) SELECT col, row, round(avg(raw), 6) AS value, count(raw) AS n FROM b WHERE col BETWEEN 0 AND 6 AND row BETWEEN 0 AND 19 GROUP BY 1, 2")
+BI = "q AS (SELECT k AS id, x+0.25 AS px, y*0.5+0.5 AS py FROM g), c AS (SELECT id, floor(px)::BIGINT+i AS cx, floor(py)::BIGINT+j AS cy, (CASE WHEN i = 1 THEN px-floor(px) ELSE 1-px+floor(px) END)*(CASE WHEN j = 1 THEN py-floor(py) ELSE 1-py+floor(py) END) AS w FROM q, (SELECT unnest([0,1]) AS i), (SELECT unnest([0,1]) AS j))"
+register("rect_bilinear", lambda s, d: S.bilinear(grid(s, d).select(F.col("x").alias("col"), F.col("y").alias("row"), F.col("raw").alias("value")), gauges(s, d).select(F.col("k").alias("id"), (F.col("x") + 0.25).alias("x"), (F.col("y") * 0.5 + 0.5).alias("y")), 0, 0, 1, 1).select("id", r6(F.col("value"), "value")), f"WITH {SQL['g']}, {SQL['r']}, {BI} SELECT id, CASE WHEN count(raw) = count(*) THEN round(sum(w*raw), 6) END AS value FROM c LEFT JOIN r ON r.x = cx AND r.y = cy WHERE w > 0 GROUP BY id")
+register("max_projection", lambda s, d: S.max_projections(sweep(s, d).select(F.col("ray").alias("x"), F.col("bin").alias("y"), (F.col("bin") % 5).alias("z"), F.col("dbz").alias("value"))), f"WITH {SQL['sw']}, v AS (SELECT ray AS x, bin AS y, bin % 5 AS z, dbz AS value FROM sw) SELECT x, y, z, max(value) AS value FROM v GROUP BY GROUPING SETS ((x, y), (x, z), (y, z))")
+
+
+def _zones(s: SparkSession, d: str) -> DataFrame:
+    n = table(s, d, "nation")
+    x, y = (F.col("n_nationkey") % 5 * 10 - 0.5), (F.floor(F.col("n_nationkey") / 5) * 8 - 0.5)
+    ring = F.array(*[F.struct((x + a).alias("x"), (y + b).alias("y")) for a, b in ((0.0, 0.0), (12.0, 0.0), (12.0, 9.0), (0.0, 9.0), (0.0, 0.0))])
+    return n.select(F.col("n_nationkey").cast("long").alias("trg"), ring.alias("ring"))
+
+
+def _points(s: SparkSession, d: str) -> DataFrame:
+    return grid(s, d).select(F.col("pt").alias("src"), "x", "y", F.col("raw").alias("value"))
+
+
+ZN = "zn AS (SELECT n_nationkey::BIGINT AS trg, n_nationkey % 5*10-0.5 AS zx, n_nationkey//5*8-0.5 AS zy FROM nation), ed AS (SELECT trg, raw FROM zn JOIN r ON r.x > zx AND r.x < zx+12 AND r.y > zy AND r.y < zy+9)"
+register("zonal_point", lambda s, d: S.zonal_stats(S.zone_points(_zones(s, d), _points(s, d), 10.0), _points(s, d).select("src", "value")).select("trg", r6(F.col("mean"), "mean"), r6(F.col("var"), "var")), f"WITH {SQL['r']}, {ZN} SELECT trg, round(avg(raw), 6) AS mean, round(var_pop(raw), 6) AS var FROM ed GROUP BY trg")
+register("clip_mask", lambda s, d: _points(s, d).join(S.zone_points(_zones(s, d), _points(s, d), 10.0).select("src").distinct().withColumn("inside", F.lit(True)), "src", "left").select("src", F.coalesce("inside", F.lit(False)).alias("inside")), f"WITH {SQL['r']}, zn AS (SELECT n_nationkey % 5*10-0.5 AS zx, n_nationkey//5*8-0.5 AS zy FROM nation) SELECT pt AS src, EXISTS (SELECT 1 FROM zn WHERE r.x > zx AND r.x < zx+12 AND r.y > zy AND r.y < zy+9) AS inside FROM r")
+register("zone_area", lambda s, d: _zones(s, d).select("trg", r6(G.ring_area(F.col("ring")), "area")), "SELECT n_nationkey::BIGINT AS trg, 108.0::DOUBLE AS area FROM nation")
+register("bbox_crop", lambda s, d: grid(s, d).where(F.col("x").between(10, 30) & F.col("y").between(5, 25)).agg(F.min("x").alias("left"), F.max("x").alias("right"), F.min("y").alias("bottom"), F.max("y").alias("top"), F.count("*").alias("n")), f"WITH {SQL['r']} SELECT min(x) AS left, max(x) AS right, min(y) AS bottom, max(y) AS top, count(*) AS n FROM r WHERE x BETWEEN 10 AND 30 AND y BETWEEN 5 AND 25")
+register("extract_circle", lambda s, d: grid(s, d).where((F.col("x") - 25) * (F.col("x") - 25) + (F.col("y") - 20) * (F.col("y") - 20) < 100).select("pt", "raw"), f"WITH {SQL['r']} SELECT pt, raw FROM r WHERE (x-25)*(x-25)+(y-20)*(y-20) < 100")
+register("vpr_stats", lambda s, d: sweep(s, d).withColumn("layer", F.col("bin") % 5).join(sweep(s, d).withColumn("layer", F.col("bin") % 5).where("layer = 0").groupBy("ray").agg(F.max("dbz").alias("ref")), "ray").groupBy("layer").agg(r6(F.median(F.try_divide("dbz", "ref")), "ratio")), f"WITH {SQL['sw']}, f AS (SELECT ray, max(dbz) AS ref FROM sw WHERE bin % 5 = 0 GROUP BY ray) SELECT bin % 5 AS layer, round(median(dbz/nullif(ref, 0)), 6) AS ratio FROM sw JOIN f USING (ray) GROUP BY 1")
+register("probability", lambda s, d: dualpol(s, d).groupBy("ray").agg(r6(F.try_divide(F.sum(M.trapezoid("zdr", -1, 0, 1, 3) * F.col("rho")), F.sum("rho")), "p")), f"WITH {SQL['dp']} SELECT ray, round(sum((1-{TR('zdr', '-1', '0', '1', '3')})*rho)/sum(rho), 6) AS p FROM dp GROUP BY ray")
+register("error_metrics", lambda s, d: S.error_metrics(table(s, d, "lineitem").select(F.col("l_quantity").alias("obs"), F.col("l_partkey").alias("pk")).join(table(s, d, "part").select(F.col("p_partkey").alias("pk"), F.col("p_size").cast("double").alias("est")), "pk")), "WITH v AS (SELECT l_quantity AS obs, p_size::DOUBLE AS est FROM lineitem JOIN part ON l_partkey = p_partkey WHERE l_quantity NOT IN (-99, 99, -9999) AND p_size NOT IN (-99, 99, -9999)), k AS (SELECT *, rank() OVER (ORDER BY obs)+(count(*) OVER (PARTITION BY obs)-1)/2 AS ro, rank() OVER (ORDER BY est)+(count(*) OVER (PARTITION BY est)-1)/2 AS re FROM v), a AS (SELECT corr(obs, est) AS c, corr(ro, re) AS s, round_even(sum((est-obs)*(est-obs)), 2) AS sse, count(*) AS n, var_pop(obs) AS vp, avg(abs(est-obs)) AS mas, avg(est-obs) AS me, avg(est/nullif(obs, 0)) AS ratio, avg(obs) AS mo FROM k), b AS (SELECT *, round_even(sse/n, 2) AS mse FROM a) SELECT round_even(c, 2) AS corr, round_even(c*c, 2) AS r2, round_even(s, 2) AS spearman, round_even(1-mse/vp, 2) AS nash, sse, mse, round_even(sqrt(mse), 2) AS rmse, round_even(mas, 2) AS mas, round_even(me, 2) AS meanerr, round_even(ratio, 2) AS ratio, round_even(round_even(me, 2)*100/mo, 1) AS pbias FROM b")
+
+# neighbours and gauges
+_near = lambda s, d, k: S.knn(grid(s, d).select(F.col("pt").alias("trg_id"), "x", "y"), gauges(s, d).select(F.col("k").alias("src_id"), "x", "y"), k)
+_vals = lambda s, d: gauges(s, d).select(F.col("k").alias("src_id"), "obs")
+KN = "kn AS (SELECT pt, k, obs, (g.x-r.x)*(g.x-r.x)+(g.y-r.y)*(g.y-r.y) AS d2, row_number() OVER (PARTITION BY pt ORDER BY (g.x-r.x)*(g.x-r.x)+(g.y-r.y)*(g.y-r.y), k) AS n FROM r, g)"
+register("knn", lambda s, d: _near(s, d, 4).select(F.col("trg_id").alias("pt"), F.col("rank").cast("long").alias("rank"), F.col("src_id").alias("k"), r6(F.sqrt("d2"), "dist")), f"WITH {SQL['g']}, {SQL['r']}, {KN} SELECT pt, n AS rank, k, round(sqrt(d2), 6) AS dist FROM kn WHERE n <= 4")
+register("nearest", lambda s, d: S.nearest(_near(s, d, 1), _vals(s, d), ["obs"], 6.0).select(F.col("trg_id").alias("pt"), "obs"), f"WITH {SQL['g']}, {SQL['r']}, {KN} SELECT pt, CASE WHEN d2 <= 36 THEN obs END AS obs FROM kn WHERE n = 1")
+register("idw", lambda s, d: S.idw(_near(s, d, 4), _vals(s, d), ["obs"]).select(F.col("trg_id").alias("pt"), r6(F.col("obs"), "obs")), f"WITH {SQL['g']}, {SQL['r']}, {KN}, w AS (SELECT *, CASE WHEN d2 = 0 THEN 1e12 ELSE 1.0/d2 END AS w FROM kn WHERE n <= 4) SELECT pt, round(sum(w*obs)/sum(w), 6) AS obs FROM w GROUP BY pt")
+register("raw_at_obs", lambda s, d: S.raw_at_gauges(gauges(s, d), grid(s, d)), f"WITH {SQL['pairs']} SELECT k, rawatobs FROM ra")
+register("raw_at_obs_best", lambda s, d: S.raw_at_gauges(gauges(s, d), grid(s, d), 9, "best"), f"WITH {SQL['pairs']}, b AS (SELECT nn.k, raw, row_number() OVER (PARTITION BY nn.k ORDER BY abs(raw-obs), n) AS m FROM nn JOIN g USING (k) WHERE n <= 9) SELECT k, raw AS rawatobs FROM b WHERE m = 1")
+EPS = "(obs-rawatobs)/(rawatobs*rawatobs+1)"
+for _kind, _fields, _value in (
+    ("add", ["obs-rawatobs"], "greatest(raw+f0, 0)"),
+    ("multiply", ["obs/nullif(rawatobs, 0)"], "raw*f0"),
+    ("mixed", [EPS, f"(obs-{EPS})/nullif(rawatobs, 0)-1"], "(1+f1)*raw+f0"),
+    ("gage_only", ["obs"], "f0"),
+):
+    register(_kind if _kind == "gage_only" else f"adjust_{_kind}", lambda s, d, k=_kind: S.adjust(k, gauges(s, d), grid(s, d)).select("pt", r6(F.col("adjusted"), "adjusted")), f"WITH {SQL['pairs']}, {interpolated(*_fields)} SELECT pt, round({_value}, 6) AS adjusted FROM r JOIN ip USING (pt)")
+register("adjust_none", lambda s, d: S.adjust("none", gauges(s, d), grid(s, d)).select("pt", "adjusted"), f"WITH {SQL['r']} SELECT pt, raw AS adjusted FROM r")
+register("adjust_mfb", lambda s, d: S.adjust_mfb(gauges(s, d), grid(s, d)).select("pt", r6(F.col("adjusted"), "adjusted")), f"WITH {SQL['pairs']}, f AS (SELECT avg(obs/nullif(rawatobs, 0)) AS f FROM pairs) SELECT pt, round(raw*f, 6) AS adjusted FROM r, f")
+register("adjust_xval", lambda s, d: S.cross_validate(gauges(s, d), grid(s, d)).select("k", "obs", r6(F.col("est"), "est")), f"WITH {SQL['pairs']}, dr AS (SELECT k, raw AS direct FROM nn WHERE n = 1), p AS (SELECT pairs.*, direct FROM pairs JOIN dr USING (k) WHERE direct >= 0), lo AS (SELECT a.k, a.direct, b.obs-b.rawatobs AS e, (a.x-b.x)*(a.x-b.x)+(a.y-b.y)*(a.y-b.y) AS d2, row_number() OVER (PARTITION BY a.k ORDER BY (a.x-b.x)*(a.x-b.x)+(a.y-b.y)*(a.y-b.y), b.k) AS n FROM p a JOIN p b ON a.k <> b.k), es AS (SELECT k, greatest(any_value(direct)+sum(e*CASE WHEN d2 = 0 THEN 1e12 ELSE 1.0/d2 END)/sum(CASE WHEN d2 = 0 THEN 1e12 ELSE 1.0/d2 END), 0) AS est FROM lo WHERE n <= 4 GROUP BY k) SELECT g.k, obs, round(est, 6) AS est FROM g LEFT JOIN es USING (k)")
+register("kriging", lambda s, d: S.ordinary_kriging(_near(s, d, 8), gauges(s, d).select(F.col("k").alias("src_id"), "x", "y", "obs"), "obs", 1.0, 20.0).select(F.col("trg_id").alias("pt"), r6(F.col("value"), "value"), r6(F.col("variance"), "variance")))
+
+# generators and time
+register("raster_grid", lambda s, d: s.range(40).select(F.col("id").alias("col"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(24).cast("long"))).alias("row")).select("col", "row", (F.col("col") * 0.5 + 0.25).alias("x"), (12.5 - F.col("row") * 0.5 - 0.25).alias("y")), "SELECT c AS col, r AS row, c*0.5::DOUBLE+0.25 AS x, 12.5::DOUBLE-r*0.5-0.25 AS y FROM range(40) a(c), range(25) b(r)")
+register("timesteps", lambda s, d: s.sql("SELECT explode(sequence(timestamp '2020-01-01 00:00:00', timestamp '2020-01-02 00:00:00', interval 5 minutes)) AS t"), "SELECT unnest(generate_series(TIMESTAMP '2020-01-01 00:00:00', TIMESTAMP '2020-01-02 00:00:00', INTERVAL 5 MINUTE)) AS t")
+register("accumulate", lambda s, d: accumulate(table(s, d, "events").select("ts", (F.col("value") % 50).alias("dbz"), "user_id"), "ts", "dbz", "user_id"), "WITH e AS (SELECT user_id, time_bucket(INTERVAL 5 MINUTE, ts) AS start, round(pow(pow(10, (value % 50)/10)/200.0, 1/1.6)*300/3600, 6)::DECIMAL(18,6) AS d FROM events) SELECT user_id, start, sum(d)::DOUBLE AS depth, count(*) AS n FROM e GROUP BY 1, 2")
