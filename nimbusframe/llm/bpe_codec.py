@@ -62,7 +62,7 @@ def byte_letters() -> dict[str, int]:
 class Codec:
     """Encoder and decoder for a byte-level BPE file of the tokenizers library."""
 
-    def __init__(self, path: str, most: int = 800_000) -> None:
+    def __init__(self, path: str, most: int = 250_000) -> None:
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         letters = byte_letters()
@@ -98,8 +98,10 @@ class Codec:
         self.careful = regex.compile(split_pattern(True), regex.V1).findall
         self.has_newer = regex.compile(f"[{NEWER_CLASS}]").search
         self.special_split = regex.compile("(" + "|".join(map(regex.escape, sorted(self.specials, key=len, reverse=True))) + ")").split if self.specials else None
-        self.pair_ok: dict[int, bool] = {}
+        self.known_pairs, self.known_ok = np.zeros(0, dtype=np.int64), np.zeros(0, dtype=bool)
+        # Two generations of words: when the younger is full it becomes the older, so common words stay and memory is bounded.
         self.words: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
         self.most = most
         self.exact_words = self.seen_words = 0
         # Decoder tables: the bytes of each id, end to end.
@@ -205,14 +207,18 @@ class Codec:
         fails[owner[~self.canonical[flat]]] = True
         inner = owner[1:] == owner[:-1]
         keys, back = np.unique((flat[:-1] * self.n + flat[1:])[inner], return_inverse=True)
-        good = np.array([self.pair_ok.get(k, 2) for k in keys.tolist()], dtype=np.int8)
-        new = np.flatnonzero(good == 2)
+        at = np.minimum(np.searchsorted(self.known_pairs, keys), max(len(self.known_pairs) - 1, 0))
+        seen = self.known_pairs[at] == keys if len(self.known_pairs) else np.zeros(len(keys), dtype=bool)
+        good = self.known_ok[at] & seen if len(self.known_pairs) else seen.copy()
+        new = np.flatnonzero(~seen)
         if len(new):
             good[new] = self.compatible(keys[new] // self.n, keys[new] % self.n)
-            if len(self.pair_ok) > 4 * self.most:
-                self.pair_ok.clear()
-            self.pair_ok.update(zip(keys[new].tolist(), (good[new] == 1).tolist(), strict=True))
-        fails[owner[:-1][inner][good[back] == 0]] = True
+            if len(self.known_pairs) > 8 * self.most:
+                self.known_pairs, self.known_ok = self.known_pairs[:0], self.known_ok[:0]
+            every = np.concatenate([self.known_pairs, keys[new]])
+            order = np.argsort(every, kind="stable")
+            self.known_pairs, self.known_ok = every[order], np.concatenate([self.known_ok, good[new]])[order]
+        fails[owner[:-1][inner][~good[back]]] = True
         self.seen_words += len(words)
         self.exact_words += int(fails.sum())
         for i in np.flatnonzero(fails):
@@ -236,11 +242,16 @@ class Codec:
                     parts.append(self.split(t))
             jobs.append(parts)
         if len(self.words) > self.most:
-            self.words.clear()
-        words = self.words
+            self.older, self.words = self.words, {}
+        words, older = self.words, self.older
         new = {w for parts in jobs for p in parts if not isinstance(p, int) for w in p if w not in words}
-        if new:
-            fresh = list(new)
+        fresh = []
+        for w in new:
+            if (ids := older.get(w)) is not None:
+                words[w] = ids
+            else:
+                fresh.append(w)
+        if fresh:
             words.update(zip(fresh, self.encode_words(fresh), strict=True))
         get = words.__getitem__
         return [b"".join(p.to_bytes(4, "little") if isinstance(p, int) else b"".join(map(get, p)) for p in parts) for parts in jobs]

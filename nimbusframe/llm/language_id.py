@@ -43,19 +43,22 @@ def grams(word: str, n: int) -> list[str]:
 
 
 class Model:
-    """Log frequencies by language; columns in the order of ``langs``."""
+    """Log frequencies by language; columns in the order of ``langs``. Table 0 has the words, table n the n-grams."""
 
-    def __init__(self, langs: list[str], words: dict[str, np.ndarray], backoff: list[dict[str, np.ndarray]], prior: np.ndarray) -> None:
-        self.langs, self.words, self.backoff, self.prior = langs, words, backoff, prior
+    def __init__(self, langs: list[str], tables: list[dict[str, np.ndarray]], prior: np.ndarray) -> None:
+        self.langs, self.prior = langs, prior
+        self.at = [dict(zip(t, range(len(t)), strict=True)) for t in tables]
+        self.logs = [np.array(list(t.values()), dtype=np.float64).reshape(len(t), len(langs)) for t in tables]
 
     def word(self, w: str) -> np.ndarray:
-        v = self.words.get(w)
-        if v is not None:
-            return v
+        k = self.at[0].get(w)
+        if k is not None:
+            return self.logs[0][k]
         for n in range(LONGEST, 0, -1):
-            found = [v for g in grams(w, n) if (v := self.backoff[n - 1].get(g)) is not None]
+            get = self.at[n].get
+            found = [k for g in grams(w, n) if (k := get(g)) is not None]
             if found:
-                return np.mean(found, axis=0)
+                return self.logs[n][found].mean(axis=0)
         return np.zeros(len(self.langs))
 
     def token_rows(self, tokens: list[bytes]) -> np.ndarray:
@@ -75,7 +78,7 @@ def fit(docs: DataFrame, sample: int = SAMPLE) -> Model:
     fold_in = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & ~is_fold(F.col("doc_id"), 4, 2))
     n = fold_in.select("doc_id").count()
     if not n:
-        return Model([], {}, [{} for _ in range(LONGEST)], np.zeros(0))
+        return Model([], [{} for _ in range(LONGEST + 1)], np.zeros(0))
     bound = int((1 << 30) * min(1.0, sample / n)) + 1
     picked = fold_in.where(F.pmod(F.xxhash64("doc_id", F.lit("language-sample")), F.lit(1 << 30)) < bound).select("lang", "text")
 
@@ -104,7 +107,7 @@ def fit(docs: DataFrame, sample: int = SAMPLE) -> Model:
     )
     langs = sorted(set(rows["lang"]))
     if not langs:
-        return Model([], {}, [{} for _ in range(LONGEST)], np.zeros(0))
+        return Model([], [{} for _ in range(LONGEST + 1)], np.zeros(0))
     at = {k: i for i, k in enumerate(langs)}
     tables: list[dict[str, np.ndarray]] = [{} for _ in range(LONGEST + 1)]
     totals = np.ones((LONGEST + 1, len(langs)))
@@ -115,7 +118,7 @@ def fit(docs: DataFrame, sample: int = SAMPLE) -> Model:
         size = totals[n] + SMOOTH * (len(t) + 1)
         for g in t:
             t[g] = np.log((t[g] + SMOOTH) / size)
-    return Model(langs, tables[0], tables[1:], totals[0])
+    return Model(langs, tables, totals[0])
 
 
 def judge(m: Model, known: TokenTable, texts: list[str | None]) -> tuple[list[str], np.ndarray]:
