@@ -16,6 +16,19 @@ from nimbusframe.functions.moments import valid
 COINCIDENT = 1e12
 
 
+def settled(df: DataFrame) -> DataFrame:
+    """The rows written to the shared checkpoint folder, with their lineage cut."""
+    sc = df.sparkSession.sparkContext
+    if sc.getCheckpointDir() is None:
+        folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if not folder:
+            import tempfile
+
+            folder = tempfile.mkdtemp(prefix="nimbus-ckpt-")
+        sc.setCheckpointDir(folder)
+    return df.checkpoint(eager=True)
+
+
 def knn(targets: DataFrame, sources: DataFrame, k: int, per_cell: float = 4.0) -> DataFrame:
     """The k nearest sources of every target: trg_id, rank (1 is nearest), src_id, d2.
 
@@ -53,9 +66,10 @@ def knn(targets: DataFrame, sources: DataFrame, k: int, per_cell: float = 4.0) -
         ranked = pairs.withColumn("rank", F.row_number().over(Window.partitionBy("trg_id").orderBy("d2", "src_id"))).where(F.col("rank") <= k)
         final = ring >= reach
         if not final:
+            ranked = settled(ranked)  # read twice, and the next round must not carry this one's plan
             done = ranked.groupBy("trg_id").agg(F.count("*").alias("m"), F.max("d2").alias("far")).where((F.col("m") >= min(k, n)) & (F.col("far") <= (coarse * coarse))).select("trg_id")
             found = ranked.join(done, "trg_id", "left_semi")
-            rest = left.join(done, "trg_id", "left_anti")
+            rest = settled(left.join(done, "trg_id", "left_anti"))
         else:
             found, rest = ranked, None
         found = found.select("trg_id", F.col("rank").cast("int").alias("rank"), "src_id", "d2")

@@ -30,22 +30,22 @@ def r6(v: Column, name: str) -> Column:
     return (F.round(v, 6) + F.lit(0.0)).alias(name)
 
 
-def gatewise(name: str, view: Callable[..., DataFrame], cte: str, rows: str, columns: dict[str, tuple[Column, str]]) -> None:
-    """A query of Column functions on every gate; SQL beside each."""
+def gatewise(name: str, view: Callable[..., DataFrame], cte: str, rows: str, columns: dict[str, tuple[Callable[[], Column], str]]) -> None:
+    """A query of Column functions on every gate, built when it runs; SQL beside each."""
     register(
         name,
-        lambda s, d: view(s, d).select("ray", "bin", *[r6(c, n) for n, (c, _) in columns.items()]),
+        lambda s, d: view(s, d).select("ray", "bin", *[r6(c(), n) for n, (c, _) in columns.items()]),
         f"WITH {SQL[cte]} SELECT ray, bin, " + ", ".join(f"round({q}, 6)+0.0::DOUBLE AS {n}" for n, (_, q) in columns.items()) + f" FROM {rows}",
     )
 
 
 Z = "pow(10, dbz/10)"
 KM = "((bin+1)*0.25)"
-RANGE = (F.col("bin") + 1) * 250.0
+RANGE = lambda: (F.col("bin") + 1) * 250.0
 RNG = "((bin+1)*250.0::DOUBLE)"
-EL = (F.col("ray") % 10 + 0.5).cast("double")
+EL = lambda: (F.col("ray") % 10 + 0.5).cast("double")
 ELQ = "(ray % 10 + 0.5::DOUBLE)"
-AZ = F.col("ray") + 0.5
+AZ = lambda: F.col("ray") + 0.5
 REFF = "(4.0::DOUBLE/3*6371000)"
 
 register(
@@ -53,56 +53,56 @@ register(
     lambda s, d: sweep(s, d).groupBy("ray").agg(F.sum(F.round(M.r_to_depth(M.z_to_r(M.idecibel("dbz")), 300), 6).cast("decimal(18,6)")).cast("double").alias("depth"), F.count("*").alias("n")),
     f"WITH {SQL['sw']} SELECT ray, sum(round(pow({Z}/200.0, 1/1.6)*300/3600.0, 6)::DECIMAL(18,6))::DOUBLE AS depth, count(*) AS n FROM sw GROUP BY ray",
 )
-gatewise("zr_roundtrip", sweep, "sw", "sw", {"rate": (M.z_to_r(M.idecibel("dbz")), f"pow({Z}/200.0, 1/1.6)"), "back": (M.decibel(M.r_to_z(M.z_to_r(M.idecibel("dbz")))), f"10*log10(200.0*pow(pow({Z}/200.0, 1/1.6), 1.6))"), "from_rvp": (M.rvp_to_dbz(F.col("bin")), "bin*0.5::DOUBLE-32.5")})
+gatewise("zr_roundtrip", sweep, "sw", "sw", {"rate": (lambda: M.z_to_r(M.idecibel("dbz")), f"pow({Z}/200.0, 1/1.6)"), "back": (lambda: M.decibel(M.r_to_z(M.z_to_r(M.idecibel("dbz")))), f"10*log10(200.0*pow(pow({Z}/200.0, 1/1.6), 1.6))"), "from_rvp": (lambda: M.rvp_to_dbz(F.col("bin")), "bin*0.5::DOUBLE-32.5")})
 gatewise("unit_conversions", sweep, "sw", "sw", {
-    "kmh": (M.si_to_kmh("dbz"), "dbz*3.6"), "mph": (M.si_to_mph("dbz"), "dbz*3600/1609.344"), "kts": (M.si_to_kts("dbz"), "dbz*3600/1852"),
-    "si_kmh": (M.kmh_to_si("dbz"), "dbz/3.6"), "si_mph": (M.mph_to_si("dbz"), "dbz*1609.344/3600"), "si_kts": (M.kts_to_si("dbz"), "dbz*1852/3600"),
+    "kmh": (lambda: M.si_to_kmh("dbz"), "dbz*3.6"), "mph": (lambda: M.si_to_mph("dbz"), "dbz*3600/1609.344"), "kts": (lambda: M.si_to_kts("dbz"), "dbz*3600/1852"),
+    "si_kmh": (lambda: M.kmh_to_si("dbz"), "dbz/3.6"), "si_mph": (lambda: M.mph_to_si("dbz"), "dbz*1609.344/3600"), "si_kts": (lambda: M.kts_to_si("dbz"), "dbz*1852/3600"),
 })
-gatewise("polynomial", sweep, "sw", "sw", {"ku": (M.polynomial("dbz", [0.185074, 1.01378, -0.00189212]), "0.185074 + 1.01378*dbz - 0.00189212*dbz*dbz")})
-gatewise("kdp_rain", dualpol, "dp", "dp", {"rate": (M.kdp_to_r("zdr", 9.45), "sign(zdr)*129*pow(abs(zdr)/9.45, 0.85)")})
+gatewise("polynomial", sweep, "sw", "sw", {"ku": (lambda: M.polynomial("dbz", [0.185074, 1.01378, -0.00189212]), "0.185074 + 1.01378*dbz - 0.00189212*dbz*dbz")})
+gatewise("kdp_rain", dualpol, "dp", "dp", {"rate": (lambda: M.kdp_to_r("zdr", 9.45), "sign(zdr)*129*pow(abs(zdr)/9.45, 0.85)")})
 LZ, MM = "pow(10, zdr/10)", "(2*rho*sqrt(pow(10, zdr/10)))"
-gatewise("depolarization", dualpol, "dp", "dp", {"dr": (M.depolarization("zdr", "rho"), f"CASE WHEN (1+{LZ}-{MM})/(1+{LZ}+{MM}) > 0 THEN 10*log10((1+{LZ}-{MM})/(1+{LZ}+{MM})) END")})
-gatewise("rhohv_nc", dualpol, "dp", "dp", {"rho_nc": (M.rhohv_noise_correction("rho", "dbz"), "rho*sqrt(1+1/pow(10, dbz/10))")})
+gatewise("depolarization", dualpol, "dp", "dp", {"dr": (lambda: M.depolarization("zdr", "rho"), f"CASE WHEN (1+{LZ}-{MM})/(1+{LZ}+{MM}) > 0 THEN 10*log10((1+{LZ}-{MM})/(1+{LZ}+{MM})) END")})
+gatewise("rhohv_nc", dualpol, "dp", "dp", {"rho_nc": (lambda: M.rhohv_noise_correction("rho", "dbz"), "rho*sqrt(1+1/pow(10, dbz/10))")})
 ALT = f"(sqrt({RNG}*{RNG}+({REFF}+100)*({REFF}+100)+2*{RNG}*({REFF}+100)*sin(radians({ELQ})))-{REFF})"
 gatewise("beam_geometry", sweep, "sw", "sw", {
-    "altitude": (G.bin_altitude(RANGE, EL, 100.0), ALT),
-    "distance": (G.bin_distance(RANGE, EL, 100.0), f"{REFF}*atan({RNG}*cos(radians({ELQ}))/({RNG}*sin(radians({ELQ}))+{REFF}+100))"),
-    "ground": (G.site_distance(RANGE, EL, G.bin_altitude(RANGE, EL, 100.0)), f"{REFF}*asin({RNG}*cos(radians({ELQ}))/({REFF}+{ALT}))"),
+    "altitude": (lambda: G.bin_altitude(RANGE(), EL(), 100.0), ALT),
+    "distance": (lambda: G.bin_distance(RANGE(), EL(), 100.0), f"{REFF}*atan({RNG}*cos(radians({ELQ}))/({RNG}*sin(radians({ELQ}))+{REFF}+100))"),
+    "ground": (lambda: G.site_distance(RANGE(), EL(), G.bin_altitude(RANGE(), EL(), 100.0)), f"{REFF}*asin({RNG}*cos(radians({ELQ}))/({REFF}+{ALT}))"),
 })
 GD = f"({REFF}*asin({RNG}*cos(radians({ELQ}))/({REFF}+{ALT})))"
-X, Y, ZZ = G.spherical_to_xyz(RANGE, AZ, EL, 100.0)
-gatewise("beam_xyz", sweep, "sw", "sw", {"x": (X, f"{GD}*cos(radians(90-(ray+0.5::DOUBLE)))"), "y": (Y, f"{GD}*sin(radians(90-(ray+0.5::DOUBLE)))"), "z": (ZZ, ALT)})
-BR, BP, BT = G.xyz_to_spherical(X, Y, ZZ, 100.0)
-register("xyz_roundtrip", lambda s, d: sweep(s, d).select("ray", "bin", F.round(BR, 3).alias("r"), F.round(BP, 6).alias("phi"), F.round(BT, 6).alias("theta")), f"WITH {SQL['sw']} SELECT ray, bin, round({RNG}, 3) AS r, round(ray+0.5::DOUBLE, 6) AS phi, round({ELQ}, 6) AS theta FROM sw")
-SX, SY = G.lonlat_to_stereographic(F.col("x") / 5 + 5, F.col("y") / 10 + 47)
-LOB, LAB = G.stereographic_to_lonlat(SX, SY)
+XYZ = lambda: G.spherical_to_xyz(RANGE(), AZ(), EL(), 100.0)
+gatewise("beam_xyz", sweep, "sw", "sw", {"x": (lambda: XYZ()[0], f"{GD}*cos(radians(90-(ray+0.5::DOUBLE)))"), "y": (lambda: XYZ()[1], f"{GD}*sin(radians(90-(ray+0.5::DOUBLE)))"), "z": (lambda: XYZ()[2], ALT)})
+BACK = lambda: G.xyz_to_spherical(*XYZ(), 100.0)
+register("xyz_roundtrip", lambda s, d: sweep(s, d).select("ray", "bin", F.round(BACK()[0], 3).alias("r"), F.round(BACK()[1], 6).alias("phi"), F.round(BACK()[2], 6).alias("theta")), f"WITH {SQL['sw']} SELECT ray, bin, round({RNG}, 3) AS r, round(ray+0.5::DOUBLE, 6) AS phi, round({ELQ}, 6) AS theta FROM sw")
+STEREO = lambda: G.lonlat_to_stereographic(F.col("x") / 5 + 5, F.col("y") / 10 + 47)
+LONLAT = lambda: G.stereographic_to_lonlat(*STEREO())
 MQ = "(6370.040::DOUBLE*(1+sin(radians(60)))/(1+sin(radians(y/10+47)))*cos(radians(y/10+47)))"
-register("radolan_xy", lambda s, d: gauges(s, d).select("k", r6(SX, "sx"), r6(SY, "sy"), r6(LOB, "lon"), r6(LAB, "lat")), f"WITH {SQL['g']} SELECT k, round({MQ}*sin(radians(x/5+5-10)), 6) AS sx, round(-{MQ}*cos(radians(x/5+5-10)), 6) AS sy, round(x/5+5, 6) AS lon, round(y/10+47, 6) AS lat FROM g")
-gatewise("pulse_volume", sweep, "sw", "sw", {"volume": (M.pulse_volume(RANGE, 150.0, 1.0) / 1e6, f"pi()*150*{RNG}*{RNG}*pow(tan(radians(0.5)), 2)/1e6"), "radius": (M.half_power_radius(RANGE, 1.0), f"{RNG}*radians(1.0)/2")})
-gatewise("snr", sweep, "sw", "sw", {"snr": (M.snr("dbz", RANGE, -10.0, 0.016), f"dbz-20*log10({KM})+10-0.016*{KM}")})
+register("radolan_xy", lambda s, d: gauges(s, d).select("k", r6(STEREO()[0], "sx"), r6(STEREO()[1], "sy"), r6(LONLAT()[0], "lon"), r6(LONLAT()[1], "lat")), f"WITH {SQL['g']} SELECT k, round({MQ}*sin(radians(x/5+5-10)), 6) AS sx, round(-{MQ}*cos(radians(x/5+5-10)), 6) AS sy, round(x/5+5, 6) AS lon, round(y/10+47, 6) AS lat FROM g")
+gatewise("pulse_volume", sweep, "sw", "sw", {"volume": (lambda: M.pulse_volume(RANGE(), 150.0, 1.0) / 1e6, f"pi()*150*{RNG}*{RNG}*pow(tan(radians(0.5)), 2)/1e6"), "radius": (lambda: M.half_power_radius(RANGE(), 1.0), f"{RNG}*radians(1.0)/2")})
+gatewise("snr", sweep, "sw", "sw", {"snr": (lambda: M.snr("dbz", RANGE(), -10.0, 0.016), f"dbz-20*log10({KM})+10-0.016*{KM}")})
 SB = "((dbz-30)/20)"
 PBB = f"CASE WHEN {SB} < -1 THEN 0 WHEN {SB} > 1 THEN 1 ELSE ({SB}*sqrt(greatest(400-(dbz-30)*(dbz-30), 0))+20*asin(greatest(least({SB}, 1), -1))+pi()*10)/(pi()*20) END"
-PB = M.beam_block_frac("dbz", F.lit(30.0), F.lit(20.0))
-gatewise("beam_block", sweep, "sw", "sw", {"pbb": (PB, PBB)})
-gatewise("cum_beam_block", sweep, "sw", "sw", {"cbb": (F.max(PB).over(R.along([]).rowsBetween(Window.unboundedPreceding, 0)), f"max({PBB}) OVER (PARTITION BY ray ORDER BY bin)")})
-gatewise("trapezoid", sweep, "sw", "sw", {"m": (M.trapezoid("dbz", 5, 15, 30, 50), "CASE WHEN dbz BETWEEN 15 AND 30 THEN 1 WHEN dbz > 5 AND dbz < 15 THEN (dbz-5)/10 WHEN dbz > 30 AND dbz < 50 THEN (50-dbz)/20 ELSE 0 END")})
+PB = lambda: M.beam_block_frac("dbz", F.lit(30.0), F.lit(20.0))
+gatewise("beam_block", sweep, "sw", "sw", {"pbb": (lambda: PB(), PBB)})
+gatewise("cum_beam_block", sweep, "sw", "sw", {"cbb": (lambda: F.max(PB()).over(R.along([]).rowsBetween(Window.unboundedPreceding, 0)), f"max({PBB}) OVER (PARTITION BY ray ORDER BY bin)")})
+gatewise("trapezoid", sweep, "sw", "sw", {"m": (lambda: M.trapezoid("dbz", 5, 15, 30, 50), "CASE WHEN dbz BETWEEN 15 AND 30 THEN 1 WHEN dbz > 5 AND dbz < 15 THEN (dbz-5)/10 WHEN dbz > 30 AND dbz < 50 THEN (50-dbz)/20 ELSE 0 END")})
 register("cloudtype", lambda s, d: sweep(s, d).select("ray", "bin", (M.no_rain_cloud(F.col("bin") % 20, low=True) & (F.col("dbz") > 0)).alias("clutter")), f"WITH {SQL['sw']} SELECT ray, bin, (bin % 20 IN (1,2,5,6,7) AND dbz > 0) AS clutter FROM sw")
-FZ = M.weighted_membership([(1 - M.trapezoid("zdr", -1, 0, 1, 3), 0.4), (1 - M.trapezoid("rho", 0.7, 0.8, 0.95, 1.0), 0.4), (1 - M.trapezoid("phi", -180, -90, 90, 180), 0.1)])
+FZ = lambda: M.weighted_membership([(1 - M.trapezoid("zdr", -1, 0, 1, 3), 0.4), (1 - M.trapezoid("rho", 0.7, 0.8, 0.95, 1.0), 0.4), (1 - M.trapezoid("phi", -180, -90, 90, 180), 0.1)])
 TR = lambda v, a, b, c, d: f"(1-CASE WHEN {v} BETWEEN {b} AND {c} THEN 1 WHEN {v} > {a} AND {v} < {b} THEN ({v}-({a}))/({b}-({a})) WHEN {v} > {c} AND {v} < {d} THEN ({d}-{v})/({d}-({c})) ELSE 0 END)"
-gatewise("fuzzy_echo", dualpol, "dp", "dp", {"p": (FZ, f"(0.4*{TR('zdr', '-1', '0', '1', '3')}+0.4*{TR('rho', '0.7', '0.8', '0.95', '1.0')}+0.1*{TR('phi', '-180', '-90', '90', '180')})/0.9")})
+gatewise("fuzzy_echo", dualpol, "dp", "dp", {"p": (lambda: FZ(), f"(0.4*{TR('zdr', '-1', '0', '1', '3')}+0.4*{TR('rho', '0.7', '0.8', '0.95', '1.0')}+0.1*{TR('phi', '-180', '-90', '90', '180')})/0.9")})
 gatewise("covariograms", sweep, "sw", "sw", {
-    "nug": (M.covariance("nug", "dbz", 2, 5), "CASE WHEN dbz <= 5 THEN 2 ELSE 0 END"), "expo": (M.covariance("exp", "dbz", 2, 20), "2*exp(-dbz/20)"),
-    "sph": (M.covariance("sph", "dbz", 2, 20), "CASE WHEN dbz < 20 THEN 2*(1-1.5*dbz/20+pow(dbz/20, 3)/2) ELSE 0 END"), "gau": (M.covariance("gau", "dbz", 2, 20), "2*exp(-pow(dbz/20, 2))"),
-    "lin": (M.covariance("lin", "dbz", 2, 20), "CASE WHEN dbz < 20 THEN 2*(1-dbz/20) ELSE 0 END"), "power": (M.covariance("pow", "dbz", 2, 0.5), "2-pow(dbz, 0.5)"), "cau": (M.covariance("cau", "dbz", 2, 20, alpha=1.5, beta=2.0), "2*pow(1+pow(dbz/20, 1.5), -2.0/1.5)"),
+    "nug": (lambda: M.covariance("nug", "dbz", 2, 5), "CASE WHEN dbz <= 5 THEN 2 ELSE 0 END"), "expo": (lambda: M.covariance("exp", "dbz", 2, 20), "2*exp(-dbz/20)"),
+    "sph": (lambda: M.covariance("sph", "dbz", 2, 20), "CASE WHEN dbz < 20 THEN 2*(1-1.5*dbz/20+pow(dbz/20, 3)/2) ELSE 0 END"), "gau": (lambda: M.covariance("gau", "dbz", 2, 20), "2*exp(-pow(dbz/20, 2))"),
+    "lin": (lambda: M.covariance("lin", "dbz", 2, 20), "CASE WHEN dbz < 20 THEN 2*(1-dbz/20) ELSE 0 END"), "power": (lambda: M.covariance("pow", "dbz", 2, 0.5), "2-pow(dbz, 0.5)"), "cau": (lambda: M.covariance("cau", "dbz", 2, 20, alpha=1.5, beta=2.0), "2*pow(1+pow(dbz/20, 1.5), -2.0/1.5)"),
 })
 register("earth_radius", lambda s, d: gauges(s, d).select("k", F.round(G.earth_radius(F.col("y") / 10 + 40), 3).alias("radius"), r6(G.angle_between(F.col("x") * 9, F.col("y") * 7), "angle"), G.srtm_tile(F.col("x") - 20, F.col("y") / 10 - 2).alias("tile")), f"WITH {SQL['g']}, t AS (SELECT *, pow(cos(radians(y/10+40)), 2) AS c2, pow(sin(radians(y/10+40)), 2) AS s2, floor(x-20)::INT AS tx, floor(y/10-2)::INT AS ty FROM g) SELECT k, round(sqrt((pow(6378137.0::DOUBLE,4)*c2+pow(6356752.314245179::DOUBLE,4)*s2)/(pow(6378137.0::DOUBLE,2)*c2+pow(6356752.314245179::DOUBLE,2)*s2)), 3) AS radius, round(degrees(atan2(sin(radians(y*7-x*9)), cos(radians(y*7-x*9)))), 6) AS angle, CASE WHEN ty >= 0 THEN 'N' ELSE 'S' END || lpad(abs(ty)::VARCHAR, 2, '0') || CASE WHEN tx >= 0 THEN 'E' ELSE 'W' END || lpad(abs(tx)::VARCHAR, 3, '0') AS tile FROM t")
 
 # along rays
 W = "OVER (PARTITION BY ray ORDER BY bin"
-gatewise("pia_kdp", dualpol, "dp", "dp", {"pia": (R.pia_from_kdp(F.col("zdr"), 0.25, []), f"2*(sum(0.08*zdr) {W}))*0.25")})
-gatewise("phidp_from_kdp", dualpol, "dp", "dp", {"phidp": (R.phidp_from_kdp(F.col("zdr"), 0.25, []), f"2*(sum(zdr) {W})-zdr/2-first_value(zdr) {W})/2)*0.25")})
-gatewise("despeckle", gap_sweep, "gap", "sw", {"v3": (R.despeckle(F.col("dbz"), [], 3), f"CASE WHEN count(dbz) {W} ROWS BETWEEN 1 PRECEDING AND 1 FOLLOWING) <> 1 THEN dbz END"), "v5": (R.despeckle(F.col("dbz"), [], 5), f"CASE WHEN count(dbz) {W} ROWS BETWEEN 2 PRECEDING AND 2 FOLLOWING) <> 1 THEN dbz END")})
-gatewise("gradient", gap_sweep, "gap", "sw", {"g": (R.gradient(F.col("dbz"), []), f"CASE WHEN row_number() {W}) = 1 THEN lead(dbz) {W})-dbz WHEN lead(1) {W}) IS NULL THEN dbz-lag(dbz) {W}) ELSE (lead(dbz) {W})-lag(dbz) {W}))/2 END")})
+gatewise("pia_kdp", dualpol, "dp", "dp", {"pia": (lambda: R.pia_from_kdp(F.col("zdr"), 0.25, []), f"2*(sum(0.08*zdr) {W}))*0.25")})
+gatewise("phidp_from_kdp", dualpol, "dp", "dp", {"phidp": (lambda: R.phidp_from_kdp(F.col("zdr"), 0.25, []), f"2*(sum(zdr) {W})-zdr/2-first_value(zdr) {W})/2)*0.25")})
+gatewise("despeckle", gap_sweep, "gap", "sw", {"v3": (lambda: R.despeckle(F.col("dbz"), [], 3), f"CASE WHEN count(dbz) {W} ROWS BETWEEN 1 PRECEDING AND 1 FOLLOWING) <> 1 THEN dbz END"), "v5": (lambda: R.despeckle(F.col("dbz"), [], 5), f"CASE WHEN count(dbz) {W} ROWS BETWEEN 2 PRECEDING AND 2 FOLLOWING) <> 1 THEN dbz END")})
+gatewise("gradient", gap_sweep, "gap", "sw", {"g": (lambda: R.gradient(F.col("dbz"), []), f"CASE WHEN row_number() {W}) = 1 THEN lead(dbz) {W})-dbz WHEN lead(1) {W}) IS NULL THEN dbz-lag(dbz) {W}) ELSE (lead(dbz) {W})-lag(dbz) {W}))/2 END")})
 FL = f"sw2 AS (SELECT *, last_value(dbz IGNORE NULLS) {W}) AS v0, last_value(CASE WHEN dbz IS NOT NULL THEN bin END IGNORE NULLS) {W}) AS b0, first_value(dbz IGNORE NULLS) {W} ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS v1, first_value(CASE WHEN dbz IS NOT NULL THEN bin END IGNORE NULLS) {W} ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS b1 FROM sw)"
 register("fill_sweep", lambda s, d: gap_sweep(s, d).select("ray", "bin", r6(R.fill_linear(F.col("dbz"), []), "v")), f"WITH {SQL['gap']}, {FL} SELECT ray, bin, round(coalesce(dbz, v0+(v1-v0)*((bin-b0)/nullif(b1-b0, 0)), v0, v1), 6) AS v FROM sw2")
 DL = ", ".join(["l AS (SELECT ray, max(bin) AS last FROM sw GROUP BY ray)", "o AS (SELECT unnest([-3,-2,-1,1,2,3]) AS k)", "m AS (SELECT sw.ray, sw.bin, k, CASE WHEN sw.bin+k < 0 THEN -(sw.bin+k) WHEN sw.bin+k > last THEN 2*last-sw.bin-k ELSE sw.bin+k END AS at FROM sw JOIN l USING (ray), o)", "j AS (SELECT m.ray, m.bin, sum(k*dbz)*3.0/(3*4*7) AS s, count(dbz) AS n FROM m LEFT JOIN sw ON sw.ray = m.ray AND sw.bin = m.at GROUP BY 1, 2)"])
