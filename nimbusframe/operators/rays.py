@@ -234,3 +234,40 @@ def radome_attenuation(df: DataFrame, dbz: str, keys: list[str], frequency: floa
     """Attenuation by a wet radome for each sweep, from the mean of its first n_r gates."""
     rate = z_to_r(F.pow(F.lit(10.0), F.avg(dbz) / 10.0))
     return df.where(F.col("bin") < n_r).groupBy(*keys).agg((2 * hydrophobicity * rate * F.pow(F.tanh(F.lit(frequency / 10.0)), F.lit(2.0))).alias("k"))
+
+
+def bright_band_ratio(df: DataFrame, height: str, width: str, quality: str, z: str, keys: list[str], good: int = 1) -> DataFrame:
+    """Adds ``ratio``: where a gate's height lies between bottom (0) and top (1) of the melting layer, from the sweep's medians.
+
+    Only gates whose quality equals ``good`` and whose height and width are above zero count for the medians.
+    """
+    ok = (F.col(quality) == good) & (F.col(height) > 0) & (F.col(width) > 0)
+    m = df.where(ok).groupBy(*keys).agg(F.median(height).alias("__h"), F.median(width).alias("__w"))
+    low = F.col("__h") - F.col("__w") / 2
+    return df.join(m, keys, "left").withColumn("ratio", F.try_divide(F.col(z) - low, F.col("__w"))).drop("__h", "__w")
+
+
+def histogram_cut(df: DataFrame, value: str, upper: float = 0.01, lower: float = 0.01, bins: int = 50, rounds: int = 100) -> DataFrame:
+    """Adds ``mask``: 1 above and 2 below the bounds that a histogram is cut to, else 0; null values give null.
+
+    Each round counts the values between the bounds in equal classes (a table of ``bins`` rows goes to the
+    driver). From the fullest class outwards the first class with less than the given share of it becomes the
+    new bound, with its far edge. A bound that moved by one or less is settled; the search ends when both are.
+    """
+    low, high = df.agg(F.min(value), F.max(value)).first()
+    low_open = high_open = low is not None
+    for _ in range(rounds):
+        if not (low_open or high_open) or high - low <= 0:
+            break
+        step = (high - low) / bins
+        at = F.least(F.floor((F.col(value) - low) / step), F.lit(bins - 1))
+        n = {r["b"]: r["n"] for r in df.where(F.col(value).between(low, high)).groupBy(at.alias("b")).agg(F.count("*").alias("n")).collect()}
+        most = max(n.values())
+        peak = min(b for b, k in n.items() if k == most)
+        down = next((b for b in range(peak, -1, -1) if n.get(b, 0) < lower * most), 0)
+        up = next((b for b in range(peak, bins) if n.get(b, 0) < upper * most), bins - 1)
+        new_low, new_high = low + step * down if low_open else low, low + step * (up + 1) if high_open else high
+        low_open, high_open = abs(new_low - low) > 1, abs(new_high - high) > 1
+        low, high = new_low, new_high
+    v = F.col(value)
+    return df.withColumn("mask", F.when(v.isNull() | F.lit(low is None), None).when(v > high, 1).when(v < low, 2).otherwise(0))

@@ -209,3 +209,10 @@ register("kriging", lambda s, d: S.ordinary_kriging(_near(s, d, 8), gauges(s, d)
 register("raster_grid", lambda s, d: s.range(40).select(F.col("id").alias("col"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(24).cast("long"))).alias("row")).select("col", "row", (F.col("col") * 0.5 + 0.25).alias("x"), (12.5 - F.col("row") * 0.5 - 0.25).alias("y")), "SELECT c AS col, r AS row, c*0.5::DOUBLE+0.25 AS x, 12.5::DOUBLE-r*0.5-0.25 AS y FROM range(40) a(c), range(25) b(r)")
 register("timesteps", lambda s, d: s.sql("SELECT explode(sequence(timestamp '2020-01-01 00:00:00', timestamp '2020-01-02 00:00:00', interval 5 minutes)) AS t"), "SELECT unnest(generate_series(TIMESTAMP '2020-01-01 00:00:00', TIMESTAMP '2020-01-02 00:00:00', INTERVAL 5 MINUTE)) AS t")
 register("accumulate", lambda s, d: accumulate(table(s, d, "events").select("ts", (F.col("value") % 50).alias("dbz"), "user_id"), "ts", "dbz", "user_id"), "WITH e AS (SELECT user_id, time_bucket(INTERVAL 5 MINUTE, ts) AS start, round(pow(pow(10, (value % 50)/10)/200.0, 1/1.6)*300/3600, 6)::DECIMAL(18,6) AS d FROM events) SELECT user_id, start, sum(d)::DOUBLE AS depth, count(*) AS n FROM e GROUP BY 1, 2")
+
+# bright band, histogram, gates at gauges
+_bb = lambda s, d: sweep(s, d).select("ray", "bin", (F.col("ray") % 6).alias("sweep"), (F.col("dbz") * 100).alias("h"), (F.col("bin") % 7 * 50.0).alias("w"), (F.col("bin") % 3).alias("q"), (F.col("dbz") * 60).alias("z"))
+register("bright_band_ratio", lambda s, d: R.bright_band_ratio(_bb(s, d), "h", "w", "q", "z", ["sweep"]).select("ray", "bin", r6(F.col("ratio"), "ratio")), f"WITH {SQL['sw']}, v AS (SELECT ray, bin, ray % 6 AS sweep, dbz*100 AS h, bin % 7*50.0::DOUBLE AS w, bin % 3 AS q, dbz*60 AS z FROM sw), m AS (SELECT sweep, median(h) AS mh, median(w) AS mw FROM v WHERE q = 1 AND h > 0 AND w > 0 GROUP BY 1) SELECT ray, bin, round((z-(mh-mw/2))/nullif(mw, 0), 6)+0.0::DOUBLE AS ratio FROM v LEFT JOIN m USING (sweep)")
+register("histo_cut", lambda s, d: R.histogram_cut(sweep(s, d), "dbz", 0.2, 0.2).select("ray", "bin", "mask"))
+_gates = lambda s, d: sweep(s, d).select((F.col("ray") * 100000 + F.col("bin")).alias("src_id"), F.floor(F.col("bin") * F.sin(F.radians(F.col("ray") * 1.0)) * 100).alias("x"), F.floor(F.col("bin") * F.cos(F.radians(F.col("ray") * 1.0)) * 100).alias("y"), "dbz")
+register("polar_neighbours", lambda s, d: S.knn(gauges(s, d).select(F.col("k").alias("trg_id"), (F.col("x") * 7).alias("x"), (F.col("y") * 11).alias("y")), _gates(s, d), 3).join(_gates(s, d).select("src_id", "dbz"), "src_id").select(F.col("trg_id").alias("k"), F.col("rank").cast("long").alias("rank"), r6(F.col("dbz"), "dbz"), r6(F.sqrt("d2"), "dist")), f"WITH {SQL['sw']}, {SQL['g']}, p AS (SELECT ray*100000+bin AS id, dbz, floor(bin*sin(radians(ray))*100) AS px, floor(bin*cos(radians(ray))*100) AS py FROM sw), n AS (SELECT k, dbz, (x*7-px)*(x*7-px)+(y*11-py)*(y*11-py) AS d2, row_number() OVER (PARTITION BY k ORDER BY (x*7-px)*(x*7-px)+(y*11-py)*(y*11-py), id) AS rank FROM g, p) SELECT k, rank, round(dbz, 6)+0.0::DOUBLE AS dbz, round(sqrt(d2), 6)+0.0::DOUBLE AS dist FROM n WHERE rank <= 3")

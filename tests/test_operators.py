@@ -108,3 +108,13 @@ def test_accumulation_of_a_stream_equals_the_table(spark, tmp_path):
     q.stop()
     rows = lambda d: sorted(map(tuple, d.collect()))
     assert rows(spark.table("acc")) == rows(accumulate(df, "t", "dbz", "site"))
+
+
+def test_histogram_cut(spark):
+    v = [float(x) for x in np.random.default_rng(0).normal(500, 20, 3000)] + [5000.0, 5001.0, -4000.0]
+    df = spark.createDataFrame([(x,) for x in v] + [(None,)], "v double")
+    got = [(r.v, r.mask) for r in rays.histogram_cut(df, "v").collect()]
+    assert {m for x, m in got if x == 5000.0 or x == 5001.0} == {1}
+    assert {m for x, m in got if x == -4000.0} == {2}
+    assert {m for x, m in got if x is not None and 470 < x < 530} == {0}
+    assert {m for x, m in got if x is None} == {None}
