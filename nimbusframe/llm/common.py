@@ -111,7 +111,7 @@ def sampled_labels(spark: SparkSession, sf_dir: str, label: str, rows: int, modu
         keep = keep | ((F.col("y") == y) & (F.col("h") < int((1 << 30) * min(1.0, rows / n))))
     picked = lab.where(keep).select("doc_id", "y")  # about 2 * rows narrow rows, whatever the corpus
     docs = table(spark, sf_dir, "documents").select("doc_id", "text").where(F.col("text").isNotNull() & (F.length("text") <= max_chars))
-    found = docs.join(F.broadcast(picked), "doc_id").toArrow()
+    found = docs.join(F.broadcast(picked), "doc_id").groupBy("doc_id", "y").agg(F.min("text").alias("text")).toArrow()  # a repeated id counts once
     order = np.lexsort((np.array(found["y"].to_pylist(), dtype=np.int64), np.array(found["doc_id"].to_pylist(), dtype=np.int64)))
     texts, ys = found["text"].to_pylist(), np.array(found["y"].to_pylist(), dtype=np.int64)
     return [texts[i] for i in order], ys[order]

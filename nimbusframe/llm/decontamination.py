@@ -7,14 +7,13 @@ those of the benchmark items. Around a hit, document and item are laid side by s
 window, REACH words wider on both sides where both have them, must agree in at least
 LEAST words and a share of SHARE of those compared.
 
-The benchmark side is broadcast only if its texts together are within BROADCAST_CHARS;
-beyond that the seeds are joined by a shuffle, and the word hashes are fetched for hit documents only.
-
-Defined cases: null and empty texts on either side have no windows. Items of fewer words
-than the shortest mask have none either and are never reported, nor are documents shorter
-than that. Rows repeated with id and text give one result row and are all removed by
-``without_benchmark``, which judges by text and so handles null ids too; repeated items are
-reported under each id. Columns other than the id and the text play no part.
+The benchmark side is broadcast only if its texts together have at most BROADCAST_WORDS words (each
+gives a row of at most some 200 bytes for each mask); beyond that the seeds are joined by a shuffle, and the word hashes are fetched for hit documents only.
+
+Defined cases: null and empty texts on either side have no windows. An overlap is of at
+least LEAST words, so neither items nor documents of fewer words are ever reported. Rows repeated with id and text give one result row and are all removed by
+``without_benchmark``, which judges by text and so handles null ids too; repeated items count once, the same
+text under several ids is reported under each. Columns other than the id and the text play no part.
 """
 
 from __future__ import annotations
@@ -25,7 +24,7 @@ from pyspark.sql import functions as F
 from nimbusframe.llm.common import saved, table
 
 #: Parameters. In a mask 1 reads a position and 0 ignores it.
-MASKS, REACH, LEAST, SHARE, BROADCAST_CHARS = ("110110101", "11100100101"), 2, 10, 0.7, 8_000_000
+MASKS, REACH, LEAST, SHARE, BROADCAST_WORDS = ("110110101", "11100100101"), 2, 10, 0.7, 400_000
 WHITE_SPACE = "\t\n\x0b\x0c\r "
 
 
@@ -49,12 +48,14 @@ def text_key(text: Column) -> tuple[Column, Column]:
 
 
 def item_seeds(items: DataFrame) -> DataFrame:
-    """One row for each window of each mask of the items: item_id, item_h, item_pos, span and seed."""
-    parts = [items.select("item_id", F.col("h").alias("item_h"), F.posexplode(seeds(F.col("h"), m, k)).alias("item_pos", "seed"), F.lit(len(m)).alias("span")) for k, m in enumerate(MASKS)]
+    """One row for each window of each mask of the items: item_id, span, seed, and ``near``, the words around
+    the window, of which ``lead`` come before it. A row is of bounded size however long the item."""
+    parts = [items.select("item_id", "h", F.posexplode(seeds(F.col("h"), m, k)).alias("item_pos", "seed"), F.lit(len(m)).alias("span")) for k, m in enumerate(MASKS)]
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)
-    return out
+    lead = F.least(F.col("item_pos"), F.lit(REACH))
+    return out.select("item_id", "span", "seed", lead.alias("lead"), F.slice("h", F.col("item_pos") - lead + 1, lead + F.col("span") + REACH).alias("near"))
 
 
 def document_seeds(rows: DataFrame, keep: list[str]) -> DataFrame:
@@ -67,27 +68,26 @@ def overlaps(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
     One row for each document, item and alignment-best window.
     """
-    items = benchmark.where(F.col("text").isNotNull()).select("item_id", word_hashes(F.col("text")).alias("h"))
-    items = item_seeds(items)
-    small = (benchmark.agg(F.sum(F.length("text"))).first()[0] or 0) <= BROADCAST_CHARS
+    words = benchmark.where(F.col("text").isNotNull()).select("item_id", word_hashes(F.col("text")).alias("h")).distinct()
+    items = item_seeds(words)
+    small = (words.agg(F.sum(F.size("h"))).first()[0] or 0) <= BROADCAST_WORDS
     hashed = docs.where(F.col("text").isNotNull()).select("doc_id", *text_key(F.col("text")), word_hashes(F.col("text")).alias("h"))
     ids = ["doc_id", "key_a", "key_b"]
     if small:
         hits = document_seeds(hashed, [*ids, "h"]).join(F.broadcast(items), "seed")
     else:
-        narrow = document_seeds(hashed, ids).join(items.select("item_id", "item_pos", "span", "seed"), "seed")
-        whole = items.groupBy("item_id").agg(F.first("item_h").alias("item_h"))
-        hits = narrow.join(hashed.select("key_a", "key_b", "h").dropDuplicates(["key_a", "key_b"]), ["key_a", "key_b"]).join(whole, "item_id")
+        narrow = document_seeds(hashed, ids).join(items, "seed")
+        hits = narrow.join(hashed.select("key_a", "key_b", "h").dropDuplicates(["key_a", "key_b"]), ["key_a", "key_b"])
     # Where the window stands in the document: the masks' windows come one mask after the other.
     n, before, start = F.size("h"), F.lit(0), F.lit(None).cast("int")
     for m in MASKS:
         start = F.when(F.col("span") == len(m), F.col("at") - before).otherwise(start)
         before = before + F.greatest(n - len(m) + 1, F.lit(0))
     hits = hits.withColumn("pos", start)
-    low = F.greatest(-F.lit(REACH), -F.col("pos"), -F.col("item_pos"))
-    high = F.least(F.col("span") + REACH, n - F.col("pos"), F.size("item_h") - F.col("item_pos")) - 1
+    low = F.greatest(-F.lit(REACH), -F.col("pos"), -F.col("lead"))
+    high = F.least(F.col("span") + REACH, n - F.col("pos"), F.size("near") - F.col("lead")) - 1
     hits = hits.withColumn("low", low).withColumn("high", high)
-    matched = F.aggregate(F.sequence("low", "high"), F.lit(0), lambda s, k: s + (F.get("h", F.col("pos") + k) == F.get("item_h", F.col("item_pos") + k)).cast("int"))
+    matched = F.aggregate(F.sequence("low", "high"), F.lit(0), lambda s, k: s + (F.get("h", F.col("pos") + k) == F.get("near", F.col("lead") + k)).cast("int"))
     hits = hits.select(*ids, "item_id", matched.alias("n_matched"), (F.col("high") - F.col("low") + 1).alias("n_compared"), (F.col("pos") + F.col("low")).alias("doc_start"), (F.col("pos") + F.col("high") + 1).alias("doc_end"))
     good = hits.where((F.col("n_matched") >= LEAST) & (F.col("n_matched") >= SHARE * F.col("n_compared")))
     return good.groupBy(*ids, "item_id").agg(

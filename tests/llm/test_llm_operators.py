@@ -260,7 +260,7 @@ def test_decontamination_joins_large_benchmarks_without_broadcast(spark, monkeyp
     items = spark.createDataFrame([(1, " ".join(f"w{k}" for k in range(30)))], "item_id long, text string")
     docs = spark.createDataFrame([(1, "x y " + " ".join(f"w{k}" for k in range(5, 28))), (2, "nothing here"), (None, " ".join(f"w{k}" for k in range(30)))], "doc_id long, text string")
     small = sorted(map(str, decontamination.overlaps(docs, items).collect()))
-    monkeypatch.setattr(decontamination, "BROADCAST_CHARS", 0)
+    monkeypatch.setattr(decontamination, "BROADCAST_WORDS", 0)
     assert sorted(map(str, decontamination.overlaps(docs, items).collect())) == small
     assert [r.doc_id for r in decontamination.without_benchmark(docs, items).collect()] == [2]
 
