@@ -96,6 +96,39 @@ def ring_area(ring: Column) -> Column:
     return F.abs(twice) / 2
 
 
+def clipped_ring(ring: Column, cell: Column) -> Column:
+    """The part of a closed ring within a convex closed ring that runs anticlockwise, as a closed ring.
+
+    The ring is cut at one edge of the cell after the other. A ring cut into several parts comes
+    back as one with edges laid over each other, which has the right area.
+    """
+
+    def cut(left: Column, i: Column) -> Column:
+        a, b = F.get(cell, i), F.get(cell, i + 1)
+        side = lambda p: (b["x"] - a["x"]) * (p["y"] - a["y"]) - (b["y"] - a["y"]) * (p["x"] - a["x"])
+
+        def step(s: Column, k: Column) -> Column:
+            p, q = F.get(left, k), F.get(left, k + 1)
+            sp, sq = side(p), side(q)
+            t = F.try_divide(sp, sp - sq)
+            meet = F.struct((p["x"] + t * (q["x"] - p["x"])).alias("x"), (p["y"] + t * (q["y"] - p["y"])).alias("y"))
+            crosses = ((sp > 0) & (sq < 0)) | ((sp < 0) & (sq > 0))
+            s = F.when(crosses, F.concat(s, F.array(meet))).otherwise(s)
+            return F.when(sq >= 0, F.concat(s, F.array(F.struct(q["x"].alias("x"), q["y"].alias("y"))))).otherwise(s)
+
+        open_ring = F.aggregate(F.sequence(F.lit(0), F.size(left) - 2), F.array().cast("array<struct<x:double,y:double>>"), step)
+        closed = F.transform(F.array(open_ring), lambda r: F.concat(r, F.slice(r, 1, 1)))[0]
+        return F.when(F.size(left) < 3, F.array().cast("array<struct<x:double,y:double>>")).otherwise(closed)
+
+    whole = F.transform(ring, lambda p: F.struct(p["x"].cast("double").alias("x"), p["y"].cast("double").alias("y")))
+    return F.aggregate(F.sequence(F.lit(0), F.size(cell) - 2), whole, cut)
+
+
+def overlap_area(ring: Column, cell: Column) -> Column:
+    """Area that a ring shares with a convex anticlockwise ring."""
+    return F.transform(F.array(clipped_ring(ring, cell)), lambda part: F.when(F.size(part) < 4, 0.0).otherwise(ring_area(part)))[0]  # the clip is worked out once
+
+
 def point_in_ring(x, y, ring: Column) -> Column:
     """Even-odd rule; points on a left or lower edge are inside."""
     px, py = c(x), c(y)

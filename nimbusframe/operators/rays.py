@@ -78,6 +78,49 @@ def derivate_lanczos(v: Column, keys: list[str], winlen: int = 7) -> Column:
     return F.when(v.isNotNull(), total)
 
 
+def finite_difference(v: Column, keys: list[str], winlen: int = 7) -> Column:
+    """Difference of the window's ends over its length, with mirrored ends."""
+    last = F.max("bin").over(Window.partitionBy(*keys, "ray"))
+    return (reflected(v, keys, winlen // 2, last) - reflected(v, keys, -(winlen // 2), last)) / winlen
+
+
+def derivate_regression(v: Column, keys: list[str], winlen: int = 7, min_periods: int | None = None) -> Column:
+    """Slope per gate by least squares over the valid gates of a window with mirrored ends; null with fewer than min_periods.
+
+    With all gates valid this is the Lanczos differentiator. Gates must be numbered from 0 without gaps.
+    """
+    last = F.max("bin").over(Window.partitionBy(*keys, "ray"))
+    shifts = range(-(winlen // 2), winlen // 2 + 1)
+    near = [reflected(v, keys, k, last) for k in shifts]
+    n = sum((y.isNotNull().cast("int") for y in near), F.lit(0))
+    add = lambda f: sum((F.coalesce(f(k, y), F.lit(0.0)) for k, y in zip(shifts, near, strict=True)), F.lit(0.0))
+    sx, sxx = add(lambda k, y: F.when(y.isNotNull(), float(k))), add(lambda k, y: F.when(y.isNotNull(), float(k * k)))
+    slope = F.try_divide(n * add(lambda k, y: y * k) - sx * add(lambda k, y: y), n * sxx - sx * sx)
+    return F.when(n >= (winlen // 2 + 1 if min_periods is None else min_periods), slope)
+
+
+def kdp_from_phidp(phi: Column, keys: list[str], dr: float = 1.0, winlen: int = 7, fill: bool = True) -> Column:
+    """Half the slope of the phase over range; ``fill`` takes windows with missing gates too."""
+    return (derivate_regression(phi, keys, winlen) if fill else derivate_lanczos(phi, keys, winlen)) / 2 / dr
+
+
+def phidp_kdp_iterated(df: DataFrame, phi: str, keys: list[str], dr: float, speckle: int = 5, winlen: int = 7, rounds: int = 2, low: float = -2.0, high: float = 20.0, wrap: float = -20.0) -> DataFrame:
+    """Adds ``phidp`` and ``kdp``: despeckled and unfolded phase, cleaned of impossible slopes, integrated and derived again.
+
+    All steps are windows along the ray, so they share one shuffle.
+    """
+    kept = df.columns
+    d = df.withColumn("__p", despeckle(F.col(phi), keys, speckle))
+    d = d.withColumn("__k", finite_difference(F.col("__p"), keys, winlen) / 2 / dr)
+    d = d.withColumn("__p", unfold_phi(F.col("__p"), F.col("__k"), keys, wrap, winlen))
+    d = d.withColumn("__p", F.when(F.col("__p") <= 360, F.col("__p")))
+    d = d.withColumn("__k", kdp_from_phidp(F.col("__p"), keys, dr, winlen))
+    d = d.withColumn("__k", F.when((F.col("__k") > low) & (F.col("__k") < high), F.col("__k")).otherwise(0.0))
+    for _ in range(rounds):
+        d = d.withColumn("__p", phidp_from_kdp(F.col("__k"), dr, keys)).withColumn("__k", kdp_from_phidp(F.col("__p"), keys, dr, winlen))
+    return d.select(*kept, F.col("__p").alias("phidp"), F.col("__k").alias("kdp"))
+
+
 def gradient(v: Column, keys: list[str]) -> Column:
     """Central differences, one-sided at the ends."""
     w = along(keys)
@@ -200,6 +243,44 @@ def first_valid_phase(df: DataFrame, phi: str, keys: list[str], n: int = 10) ->
     return v.groupBy(*keys, "ray").agg(F.median(phi).alias("sysphi_ray"), F.count("*").alias("valid_bins")).where(F.col("valid_bins") == n)
 
 
+def phase_histogram(df: DataFrame, phi: str, keys: list[str], low: float = -180.0, high: float = 180.0, step: float = 0.1, window: int = 11, threshold: float = 0.5) -> DataFrame:
+    """Per ray: ``peak``, the class where the smoothed histogram of the phase is greatest, and ``first``, the lowest above the threshold's share of it.
+
+    Classes are named by their centres. Only classes near a value are counted, so the work follows the gates and
+    not the classes. Rays without a value away from the ends give nothing.
+    """
+    h, n = window // 2, round((high - low) / step) - 1
+    at = F.floor((F.col(phi) - low) / step + 1e-9)
+    seen = df.where(F.col(phi).isNotNull()).select(*keys, "ray", at.alias("b")).where((F.col("b") >= 0) & (F.col("b") < n)).groupBy(*keys, "ray", "b").agg(F.count("*").alias("n"))
+    smooth = seen.select(*keys, "ray", "n", F.explode(F.sequence(F.col("b") - h, F.col("b") + h)).alias("b")).where((F.col("b") >= h) & (F.col("b") < n - h)).groupBy(*keys, "ray", "b").agg(F.sum("n").alias("n"))
+    top = F.max("n").over(Window.partitionBy(*keys, "ray"))
+    centre = low + (F.col("b") + 0.5) * step
+    return smooth.withColumn("__top", top).groupBy(*keys, "ray").agg(F.min(F.when(F.col("n") == F.col("__top"), centre)).alias("peak"), F.min(F.when(F.col("n") > threshold * F.col("__top"), centre)).alias("first"))
+
+
+def specific_attenuation_zphi(df: DataFrame, phi: str, dbz: str, keys: list[str], alpha: float | list[float], b: float, n: int, dr: float = 1.0) -> DataFrame:
+    """Adds ``ah`` from reflectivity, scaled so that the attenuation between the densest windows of n gates agrees with the phase.
+
+    A falling or missing phase difference counts as 1e-4; gates outside the windows as 1e-4 of linear
+    reflectivity. With several alphas there is a row for each, with the column ``alpha``. Rays shorter than n give nothing.
+    """
+    kept = df.columns
+    spans = phi_windows(df, phi, keys, n).select(*keys, "ray", (F.col("first_end") - (n - 1)).alias("__start"), F.col("last_end").alias("__stop"), (F.col("last") - F.col("first")).alias("__d"))
+    d = df.join(spans, [*keys, "ray"])
+    inside = F.col("bin").between(F.col("__start"), F.col("__stop")) & F.col(dbz).isNotNull()
+    d = d.withColumn("__za", F.pow(F.when(inside, F.pow(F.lit(10.0), F.col(dbz) / 10.0)).otherwise(1e-4), F.lit(b)))
+    d = d.withColumn("__x", 0.46 * b * cumtrapz(F.col("__za"), keys, dr))
+    ray = Window.partitionBy(*keys, "ray")
+    d = d.withColumn("__i", F.max("__x").over(ray) - F.col("__x"))
+    d = d.withColumn("__i1", F.max(F.when(F.col("bin") == F.col("__start"), F.col("__i"))).over(ray))
+    if isinstance(alpha, list):
+        d, kept, by = d.withColumn("alpha", F.explode(F.array(*[F.lit(float(x)) for x in alpha]))), [*kept, "alpha"], F.col("alpha")
+    else:
+        by = F.lit(float(alpha))
+    f = F.pow(F.lit(10.0), 0.1 * b * by * F.when(F.col("__d") >= 0, F.col("__d")).otherwise(1e-4)) - 1
+    return d.select(*kept, F.try_divide(F.col("__za"), F.try_divide(F.col("__i1"), f) + F.col("__i")).alias("ah"))
+
+
 # recurrences, on packed rays
 
 

@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from nimbusframe.functions.georef import point_in_ring
+from nimbusframe.functions.georef import overlap_area, point_in_ring
 from nimbusframe.functions.moments import valid
 
 #: Weight of a source that coincides with its target.
@@ -229,6 +229,36 @@ def max_projections(volume: DataFrame) -> DataFrame:
     return volume.groupingSets([["x", "y"], ["x", "z"], ["y", "z"]], "x", "y", "z").agg(F.max("value").alias("value"))
 
 
+def fill_polar(df: DataFrame, value: str, n_rays: int, k: int = 1, p: float = 2.0) -> DataFrame:
+    """One sweep (ray, bin, value) with its missing gates filled from the k gates nearest in the plane: inverse-distance means, the nearest with k of 1."""
+    angle = F.radians(F.col("ray") * (360.0 / n_rays))
+    at = df.select("ray", "bin", F.col(value).cast("double").alias("v"), (F.col("ray") * F.lit(1 << 32) + F.col("bin")).alias("id"), (F.cos(angle) * (F.col("bin") + 0.5)).alias("x"), (F.sin(angle) * (F.col("bin") + 0.5)).alias("y"))
+    known = at.where("v is not null").select(F.col("id").alias("src_id"), "x", "y", "v")
+    gaps = at.where("v is null").select(F.col("id").alias("trg_id"), "x", "y")
+    near = knn(gaps, known, k)
+    got = (nearest(near, known, ["v"]) if k == 1 else idw(near, known, ["v"], p)).select(F.col("trg_id").alias("id"), F.col("v").alias("f"))
+    return at.join(got, "id", "left").select("ray", "bin", F.coalesce("v", "f").alias(value))
+
+
+def within_radius(x0: float, y0: float, radius: float) -> Column:
+    """Whether a point (x, y) is within reach of a radar."""
+    return (F.col("x") - x0) * (F.col("x") - x0) + (F.col("y") - y0) * (F.col("y") - y0) < radius * radius
+
+
+def sweep_to_raster(gates: DataFrame, x0: float, y0: float, dx: float, dy: float, nx: int, ny: int, radius: float, centre: tuple[float, float] = (0.0, 0.0)) -> DataFrame:
+    """col, row, value of a raster: the mean of a cell's gates; an empty cell within the radius takes the gate nearest to its centre.
+
+    ``gates`` has src_id, x, y, value, of which values may be missing. Cells beyond the radius without gates are null.
+    """
+    binned = rect_bin(gates, x0, y0, dx, dy, nx, ny).select("col", "row", "value")
+    cells = gates.sparkSession.range(nx * ny).select((F.col("id") % nx).alias("col"), F.expr(f"id div {nx}").alias("row"), F.col("id").alias("trg_id"))
+    cells = cells.withColumn("x", x0 + (F.col("col") + 0.5) * dx).withColumn("y", y0 + (F.col("row") + 0.5) * dy).join(binned, ["col", "row"], "left")
+    empty = cells.where(F.col("value").isNull() & within_radius(*centre, radius)).select("trg_id", "x", "y")
+    known = gates.where("value is not null").select("src_id", "x", "y", "value")
+    filled = nearest(knn(empty, known, 1), known, ["value"]).select("trg_id", F.col("value").alias("f"))
+    return cells.join(filled, "trg_id", "left").select("col", "row", F.coalesce("value", "f").alias("value"))
+
+
 # zones
 
 
@@ -246,6 +276,25 @@ def zone_points(zones: DataFrame, points: DataFrame, cell: float) -> DataFrame:
     return inside.join(n, "trg").select("trg", "src", (1.0 / F.col("n")).alias("w"))
 
 
+def zone_polygons(zones: DataFrame, polygons: DataFrame, cell: float) -> DataFrame:
+    """Edges trg, src, w: the share of each zone's covered area that a source polygon has. ``polygons`` has src and a convex anticlockwise ring.
+
+    Both sides are sent to the cells their boxes touch; a pair is kept where the greater of its two lower corners lies, so it is clipped once.
+    """
+    def placed(df: DataFrame, key: str, ring: str) -> DataFrame:
+        xs, ys = F.transform("ring", lambda p: p["x"]), F.transform("ring", lambda p: p["y"])
+        box = df.select(key, F.col("ring").alias(ring), *[f(v).alias(f"{key}_{n}") for f, v, n in ((F.array_min, xs, "l"), (F.array_max, xs, "r"), (F.array_min, ys, "b"), (F.array_max, ys, "t"))])
+        span = lambda a, b: F.sequence(F.floor(F.col(f"{key}_{a}") / cell), F.floor(F.col(f"{key}_{b}") / cell))
+        return box.select("*", F.explode(span("l", "r")).alias("cx")).select("*", F.explode(span("b", "t")).alias("cy"))
+
+    j = placed(zones, "trg", "zone").join(placed(polygons, "src", "poly"), ["cx", "cy"])
+    once = (F.floor(F.greatest("trg_l", "src_l") / cell) == F.col("cx")) & (F.floor(F.greatest("trg_b", "src_b") / cell) == F.col("cy"))
+    apart = (F.col("trg_l") >= F.col("src_r")) | (F.col("src_l") >= F.col("trg_r")) | (F.col("trg_b") >= F.col("src_t")) | (F.col("src_b") >= F.col("trg_t"))
+    area = j.where(once & ~apart).select("trg", "src", overlap_area(F.col("zone"), F.col("poly")).alias("a")).where("a > 0")
+    total = area.groupBy("trg").agg(F.sum("a").alias("total"))
+    return area.join(total, "trg").select("trg", "src", (F.col("a") / F.col("total")).alias("w"))
+
+
 def zonal_stats(edges: DataFrame, values: DataFrame) -> DataFrame:
     """Weighted mean and population variance of each zone: trg, mean, var. ``values`` has src, value."""
     j = edges.join(values, "src")
@@ -291,25 +340,31 @@ def error_metrics(pairs: DataFrame, minval: float | None = None) -> DataFrame:
 # kriging
 
 
-def ordinary_kriging(neighbours: DataFrame, sources: DataFrame, field: str, sill: float = 1.0, rng: float = 10000.0) -> DataFrame:
+def ordinary_kriging(neighbours: DataFrame, sources: DataFrame, field: str, sill: float = 1.0, rng: float = 10000.0, drift: DataFrame | None = None) -> DataFrame:
     """trg_id, value and variance by ordinary kriging with an exponential covariance on each target's neighbours.
 
-    Only the small system of a target (its k neighbours) is solved in numpy; targets come in Arrow batches.
+    With ``drift`` (trg_id, drift) the field follows an external variable, which ``sources`` have too (column drift). Only the small system of a target (its k neighbours) is solved in numpy; targets come in Arrow batches.
     """
     import numpy as np
 
-    packed = neighbours.join(sources.select("src_id", F.col("x").alias("sx"), F.col("y").alias("sy"), F.col(field).alias("v")), "src_id").groupBy("trg_id").agg(F.array_sort(F.collect_list(F.struct("rank", "d2", "sx", "sy", "v"))).alias("near"))
-    flat = packed.select("trg_id", *[F.col("near")[n].cast("array<double>").alias(n) for n in ("d2", "sx", "sy", "v")])
+    own = F.col("drift").cast("double") if drift is not None else F.lit(None).cast("double")
+    packed = neighbours.join(sources.select("src_id", F.col("x").alias("sx"), F.col("y").alias("sy"), F.col(field).alias("v"), own.alias("sd")), "src_id").groupBy("trg_id").agg(F.array_sort(F.collect_list(F.struct("rank", "d2", "sx", "sy", "v", "sd"))).alias("near"))
+    flat = packed.select("trg_id", *[F.col("near")[n].cast("array<double>").alias(n) for n in ("d2", "sx", "sy", "v", "sd")])
+    flat = flat.join(drift.select("trg_id", F.col("drift").cast("double").alias("td")), "trg_id") if drift is not None else flat.withColumn("td", F.lit(None).cast("double"))
+    drifting = drift is not None
 
     def solve(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             out = []
-            for t, d2, sx, sy, v in b.itertuples(index=False):
+            for t, d2, sx, sy, v, sd, td in b.itertuples(index=False):
                 n = len(v)
-                a = np.ones((n + 1, n + 1))
-                a[n, n] = 0
+                a = np.ones((n + 1 + drifting, n + 1 + drifting))
+                a[n:, n:] = 0
                 a[:n, :n] = sill * np.exp(-np.hypot(sx[:, None] - sx, sy[:, None] - sy) / rng)
                 rhs = np.append(sill * np.exp(-np.sqrt(d2) / rng), 1.0)
+                if drifting:
+                    a[:n, -1] = a[-1, :n] = sd
+                    rhs = np.append(rhs, td)
                 w = np.linalg.lstsq(a, rhs, rcond=None)[0]
                 out.append((t, float(w[:n] @ v), float(sill - w @ rhs)))
             yield pd.DataFrame(out, columns=["trg_id", "value", "variance"])

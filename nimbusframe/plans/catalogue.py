@@ -9,8 +9,10 @@ from pyspark.sql import functions as F
 
 from nimbusframe.functions import georef as G
 from nimbusframe.functions import moments as M
+from nimbusframe.operators import classes as C
 from nimbusframe.operators import rays as R
 from nimbusframe.operators import spatial as S
+from nimbusframe.operators import sweeps as V
 from nimbusframe.plans.views import SQL, dualpol, gap_sweep, gauges, grid, interpolated, sweep, table
 from nimbusframe.streaming.accumulate import accumulate
 
@@ -216,3 +218,56 @@ register("bright_band_ratio", lambda s, d: R.bright_band_ratio(_bb(s, d), "h", "
 register("histo_cut", lambda s, d: R.histogram_cut(sweep(s, d), "dbz", 0.2, 0.2).select("ray", "bin", "mask"))
 _gates = lambda s, d: sweep(s, d).select((F.col("ray") * 100000 + F.col("bin")).alias("src_id"), F.floor(F.col("bin") * F.sin(F.radians(F.col("ray") * 1.0)) * 100).alias("x"), F.floor(F.col("bin") * F.cos(F.radians(F.col("ray") * 1.0)) * 100).alias("y"), "dbz")
 register("polar_neighbours", lambda s, d: S.knn(gauges(s, d).select(F.col("k").alias("trg_id"), (F.col("x") * 7).alias("x"), (F.col("y") * 11).alias("y")), _gates(s, d), 3).join(_gates(s, d).select("src_id", "dbz"), "src_id").select(F.col("trg_id").alias("k"), F.col("rank").cast("long").alias("rank"), r6(F.col("dbz"), "dbz"), r6(F.sqrt("d2"), "dist")), f"WITH {SQL['sw']}, {SQL['g']}, p AS (SELECT ray*100000+bin AS id, dbz, floor(bin*sin(radians(ray))*100) AS px, floor(bin*cos(radians(ray))*100) AS py FROM sw), n AS (SELECT k, dbz, (x*7-px)*(x*7-px)+(y*11-py)*(y*11-py) AS d2, row_number() OVER (PARTITION BY k ORDER BY (x*7-px)*(x*7-px)+(y*11-py)*(y*11-py), id) AS rank FROM g, p) SELECT k, rank, round(dbz, 6)+0.0::DOUBLE AS dbz, round(sqrt(d2), 6)+0.0::DOUBLE AS dist FROM n WHERE rank <= 3")
+
+# slopes with gaps, phase histograms, specific attenuation
+LS = DL.replace("[-3,-2,-1,1,2,3]", "[-3,-2,-1,0,1,2,3]").replace("sum(k*dbz)*3.0/(3*4*7) AS s", "regr_slope(dbz, k) AS s")
+register("derivate_lstsq", lambda s, d: gap_sweep(s, d).select("ray", "bin", r6(R.derivate_regression(F.col("dbz"), []), "slope")), f"WITH {SQL['gap']}, {LS} SELECT ray, bin, CASE WHEN n >= 4 THEN round(s, 6)+0.0::DOUBLE END AS slope FROM j")
+register("kdp", lambda s, d: gap_sweep(s, d).select("ray", "bin", r6(R.kdp_from_phidp(F.col("dbz"), [], 0.25), "kdp")), f"WITH {SQL['gap']}, {LS} SELECT ray, bin, CASE WHEN n >= 4 THEN round(s/2/0.25, 6)+0.0::DOUBLE END AS kdp FROM j")
+register("phidp_kdp_iterated", lambda s, d: R.phidp_kdp_iterated(gap_sweep(s, d), "dbz", [], 0.25).select("ray", "bin", r6(F.col("phidp"), "phidp"), r6(F.col("kdp"), "kdp")))
+PH = "h AS (SELECT ray, floor((dbz+180)/0.1+1e-9)::BIGINT AS b, count(*) AS n FROM sw WHERE dbz IS NOT NULL GROUP BY 1, 2), sm AS (SELECT ray, b+k AS b, sum(n) AS n FROM h, (SELECT unnest([-5,-4,-3,-2,-1,0,1,2,3,4,5]) AS k) WHERE b+k >= 5 AND b+k < 3594 GROUP BY 1, 2), tp AS (SELECT *, max(n) OVER (PARTITION BY ray) AS top FROM sm), pr AS (SELECT ray, min(CASE WHEN n = top THEN -180+(b+0.5)*0.1 END) AS peak, min(CASE WHEN n > 0.5*top THEN -180+(b+0.5)*0.1 END) AS first FROM tp GROUP BY ray)"
+register("sysphi_hist", lambda s, d: R.phase_histogram(gap_sweep(s, d), "dbz", []).select("ray", r6(F.col("peak"), "peak"), r6(F.col("first"), "first")), f"WITH {SQL['gap']}, {PH} SELECT ray, round(peak, 6)+0.0::DOUBLE AS peak, round(first, 6)+0.0::DOUBLE AS first FROM pr")
+ZP = f"sp AS (SELECT ray, fe-4 AS start, le, {MED('le')}-{MED('fe')} AS d FROM f), za AS (SELECT sw.ray, bin, start, d, pow(CASE WHEN bin BETWEEN start AND le AND dbz IS NOT NULL THEN pow(10, dbz/10) ELSE 1e-4 END, 0.78) AS za FROM sw JOIN sp ON sp.ray = sw.ray), zx AS (SELECT *, 0.46*0.78*(sum(za) {W})-za/2-first_value(za) {W})/2)*0.25 AS x FROM za), zi AS (SELECT *, max(x) OVER (PARTITION BY ray)-x AS i FROM zx), z1 AS (SELECT *, max(CASE WHEN bin = start THEN i END) OVER (PARTITION BY ray) AS i1, pow(10, 0.1*0.78*0.28*CASE WHEN d >= 0 THEN d ELSE 1e-4 END)-1 AS f FROM zi)"
+register("zphi", lambda s, d: R.specific_attenuation_zphi(gap_sweep(s, d), "dbz", "dbz", [], 0.28, 0.78, 5, 0.25).select("ray", "bin", r6(F.col("ah"), "ah")), f"WITH {SQL['gap']}, {PW}, {ZP} SELECT ray, bin, round(za/(i1/f+i), 6)+0.0::DOUBLE AS ah FROM z1")
+
+# whole sweeps
+_sweeps = lambda s, d: sweep(s, d, 50.0).withColumn("bin", F.row_number().over(Window.partitionBy("ray").orderBy("bin")) - 1)
+_level = lambda s, d: _sweeps(s, d).join(_sweeps(s, d).groupBy("ray").agg(F.max("bin").alias("__m")).agg(F.min("__m").alias("__m")), F.col("bin") <= F.col("__m")).drop("__m")
+_spread = lambda df, *extra: df.select(*extra, "ray", "a", "b", F.posexplode("pia").alias("bin", "p")).select(*extra, "ray", F.col("bin").cast("long").alias("bin"), r6(F.col("a") * 1e4, "a"), r6(F.col("b"), "b"), r6(F.col("p"), "pia"))
+register("attenuation_constrained", lambda s, d: _spread(V.constrained_attenuation(_level(s, d).withColumn("sweep", F.lit(0)), "dbz", ["sweep"], most_dbz=50.05, most_pia=20.0)))
+register("attenuation_bisected", lambda s, d: _spread(V.bisect_reference_attenuation(R.packed(_level(s, d), "dbz", []).withColumn("pia_ref", F.element_at(R.attenuation_forward(F.col("values"), 8e-5), -1)), [])))
+_wet = lambda s, d: sweep(s, d).withColumn("sweep", F.lit(0))
+register("gabella_b", lambda s, d: V.rain_cells(_wet(s, d), "dbz", ["sweep"], 40.0).select("ray", "bin", r6(F.col("ratio"), "ratio")))
+register("gabella", lambda s, d: V.clutter(_wet(s, d), "dbz", ["sweep"], 360, _wet(s, d).agg(F.max("bin") + 1).first()[0], threshold=40.0).select("ray", "bin", "clutter"))
+
+# hydrometeor classes
+MT = "mt AS (SELECT h AS hmc, CASE o WHEN 0 THEN 'zdr' ELSE 'rho' END AS obs, k*10.0::DOUBLE AS lower, h+o*0.5-1.0::DOUBLE+k*0.125 AS p1, h+o*0.5-0.5::DOUBLE+k*0.125 AS p2, h+o*0.5+0.5::DOUBLE+k*0.125 AS p3, h+o*0.5+1.5::DOUBLE+k*0.125 AS p4 FROM range(3) a(h), range(2) b(o), range(5) c(k))"
+
+
+def _membership_table(s: SparkSession) -> DataFrame:
+    t = s.range(30).select((F.col("id") % 3).alias("hmc"), F.expr("id div 3 % 2").alias("o"), F.expr("id div 6").alias("k"))
+    mid = F.col("hmc") + F.col("o") * 0.5 + F.col("k") * 0.125
+    return t.select("hmc", F.when(F.col("o") == 0, "zdr").otherwise("rho").alias("obs"), (F.col("k") * 10.0).alias("lower"), *[(mid + x).alias(f"p{i + 1}") for i, x in enumerate((-1.0, -0.5, 0.5, 1.5))])
+
+
+def _hydroclass(s: SparkSession, d: str) -> DataFrame:
+    keys = ["ray", "bin"]
+    o = dualpol(s, d).select(*keys, F.col("dbz").alias("idp"), F.expr("stack(2, 'zdr', zdr, 'rho', rho)").alias("obs", "value"))
+    p = C.class_probability(C.memberships(o, _membership_table(s), keys, 0.0, 10.0, 5), s.createDataFrame([("zdr", 2.0), ("rho", 1.0)], "obs string, weight double"), keys)
+    best = F.element_at("ranking", -1)
+    return C.classified(p.withColumn("p", F.round("p", 9)), keys).select(*keys, best["hmc"].alias("hmc"), r6(best["p"], "p"))
+
+
+HC = f"{MT}, ob AS (SELECT ray, bin, dbz AS idp, 'zdr' AS obs, zdr AS v FROM dp UNION ALL SELECT ray, bin, dbz, 'rho', rho FROM dp), mj AS (SELECT ray, bin, mt.hmc, obs, CASE WHEN v BETWEEN p2 AND p3 THEN 1 WHEN v >= p1 AND v < p2 THEN (v-p1)/(p2-p1) WHEN v > p3 AND v <= p4 THEN (v-p4)/(p3-p4) ELSE 0 END AS m FROM ob JOIN mt USING (obs) WHERE lower = floor(idp/10)*10 UNION ALL SELECT ray, bin, hmc, obs, CASE WHEN v = 0 THEN 1 ELSE 0 END FROM ob JOIN (SELECT DISTINCT hmc, obs FROM mt) USING (obs) WHERE idp >= 50), pb AS (SELECT ray, bin, hmc, round(sum(m*CASE obs WHEN 'zdr' THEN 2 ELSE 1 END)/3, 9) AS p FROM mj GROUP BY 1, 2, 3), rk AS (SELECT *, row_number() OVER (PARTITION BY ray, bin ORDER BY p DESC, hmc DESC) AS k, avg(p) OVER (PARTITION BY ray, bin) AS mean FROM pb)"
+register("hydroclass", _hydroclass, f"WITH {SQL['dp']}, {HC} SELECT ray, bin, CASE WHEN mean <= 0 THEN 3 ELSE hmc END::INTEGER AS hmc, round(CASE WHEN mean <= 0 THEN 1 ELSE p END, 6)+0.0::DOUBLE AS p FROM rk WHERE k = 1")
+
+# rasters, polygons, drift
+_gaps = lambda s, d: grid(s, d).select(F.col("pt").alias("src_id"), (F.col("x") + 0.25).alias("x"), (F.col("y") + 0.25).alias("y"), F.when(F.col("pt") % 7 < 3, F.col("raw")).alias("value"))
+SR = "gt AS (SELECT pt AS id, x+0.25::DOUBLE AS x, y+0.25::DOUBLE AS y, CASE WHEN pt % 7 < 3 THEN raw END AS v FROM r), ce AS (SELECT c.i AS col, r.j AS row, (c.i+0.5::DOUBLE)*2.5 AS cx, (r.j+0.5::DOUBLE)*0.5 AS cy FROM range(24) c(i), range(40) r(j)), bn AS (SELECT col, row, any_value(cx) AS cx, any_value(cy) AS cy, avg(v) AS v FROM ce LEFT JOIN gt ON floor(x/2.5) = col AND floor(y/0.5) = row GROUP BY 1, 2), ne AS (SELECT col, row, gt.v, row_number() OVER (PARTITION BY col, row ORDER BY (x-cx)*(x-cx)+(y-cy)*(y-cy), id) AS n FROM bn, gt WHERE bn.v IS NULL AND gt.v IS NOT NULL AND (cx-20)*(cx-20)+(cy-10)*(cy-10) < 900)"
+register("sweep_to_raster", lambda s, d: S.sweep_to_raster(_gaps(s, d), 0, 0, 2.5, 0.5, 24, 40, 30.0, (20.0, 10.0)).select("col", "row", r6(F.col("value"), "value")), f"WITH {SQL['r']}, {SR} SELECT col, row, round(coalesce(bn.v, ne.v), 6)+0.0::DOUBLE AS value FROM bn LEFT JOIN (SELECT * FROM ne WHERE n = 1) ne USING (col, row)")
+register("interpolate_polar", lambda s, d: S.fill_polar(gap_sweep(s, d), "dbz", 360).select("ray", "bin", r6(F.col("dbz"), "dbz")))
+_in = lambda s, d: grid(s, d).where(S.within_radius(20.0, 10.0, 15.0))
+register("togrid", lambda s, d: grid(s, d).select("pt").join(S.idw(S.knn(_in(s, d).select(F.col("pt").alias("trg_id"), "x", "y"), gauges(s, d).select(F.col("k").alias("src_id"), "x", "y"), 4), _vals(s, d), ["obs"]).select(F.col("trg_id").alias("pt"), r6(F.col("obs"), "obs")), "pt", "left"), f"WITH {SQL['g']}, {SQL['r']}, {KN}, w AS (SELECT *, CASE WHEN d2 = 0 THEN 1e12 ELSE 1.0/d2 END AS w FROM kn WHERE n <= 4), i AS (SELECT pt, round(sum(w*obs)/sum(w), 6) AS obs FROM w GROUP BY pt) SELECT r.pt, CASE WHEN (x-20)*(x-20)+(y-10)*(y-10) < 225 THEN obs END AS obs FROM r JOIN i USING (pt)")
+_boxes = lambda s, d: grid(s, d).select(F.col("pt").alias("src"), F.col("raw").alias("value"), F.array(*[F.struct((F.col("x") + a).cast("double").alias("x"), (F.col("y") + b).cast("double").alias("y")) for a, b in ((0, 0), (1, 0), (1, 1), (0, 1), (0, 0))]).alias("ring"))
+ZB = "zn AS (SELECT n_nationkey::BIGINT AS trg, n_nationkey % 5*10-0.5::DOUBLE AS zx, n_nationkey//5*8-0.5::DOUBLE AS zy FROM nation), ar AS (SELECT trg, raw, (least(x+1, zx+12)-greatest(x, zx))*(least(y+1, zy+9)-greatest(y, zy)) AS a FROM zn JOIN r ON x+1 > zx AND x < zx+12 AND y+1 > zy AND y < zy+9), mn AS (SELECT trg, sum(a*raw)/sum(a) AS mean FROM ar GROUP BY trg)"
+register("zonal_poly", lambda s, d: S.zonal_stats(S.zone_polygons(_zones(s, d), _boxes(s, d), 10.0), _boxes(s, d).select("src", "value")).select("trg", r6(F.col("mean"), "mean"), r6(F.col("var"), "var")), f"WITH {SQL['r']}, {ZB} SELECT trg, round(any_value(mean), 6)+0.0::DOUBLE AS mean, round(sum(a*(raw-mean)*(raw-mean))/sum(a), 6)+0.0::DOUBLE AS var FROM ar JOIN mn USING (trg) GROUP BY trg")
+register("edk", lambda s, d: S.ordinary_kriging(_near(s, d, 8), gauges(s, d).select(F.col("k").alias("src_id"), "x", "y", "obs", F.col("y").alias("drift")), "obs", 1.0, 20.0, grid(s, d).select(F.col("pt").alias("trg_id"), F.col("y").alias("drift"))).select(F.col("trg_id").alias("pt"), r6(F.col("value"), "value"), r6(F.col("variance"), "variance")))
