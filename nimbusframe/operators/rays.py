@@ -261,7 +261,7 @@ def phase_histogram(df: DataFrame, phi: str, keys: list[str], low: float = -180.
 def specific_attenuation_zphi(df: DataFrame, phi: str, dbz: str, keys: list[str], alpha: float | list[float], b: float, n: int, dr: float = 1.0) -> DataFrame:
     """Adds ``ah`` from reflectivity, scaled so that the attenuation between the densest windows of n gates agrees with the phase.
 
-    A falling or missing phase difference counts as 1e-4; gates outside the windows as 1e-4 of linear
+    A falling or missing phase difference counts as 1e-4, none at all gives zero; gates outside the windows as 1e-4 of linear
     reflectivity. With several alphas there is a row for each, with the column ``alpha``. Rays shorter than n give nothing.
     """
     kept = df.columns
@@ -278,7 +278,8 @@ def specific_attenuation_zphi(df: DataFrame, phi: str, dbz: str, keys: list[str]
     else:
         by = F.lit(float(alpha))
     f = F.pow(F.lit(10.0), 0.1 * b * by * F.when(F.col("__d") >= 0, F.col("__d")).otherwise(1e-4)) - 1
-    return d.select(*kept, F.try_divide(F.col("__za"), F.try_divide(F.col("__i1"), f) + F.col("__i")).alias("ah"))
+    ah = F.try_divide(F.col("__za"), F.try_divide(F.col("__i1"), f) + F.col("__i"))
+    return d.select(*kept, F.when((f == 0) & (F.col("__i1") > 0), 0.0).otherwise(ah).alias("ah"))
 
 
 # recurrences, on packed rays
