@@ -242,26 +242,36 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     return out.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
-def labelled(fps: DataFrame) -> DataFrame:
-    """``fps`` (doc_id and fp, saved) with component_id."""
+def labelled(fps: DataFrame, root: DataFrame | None = None) -> DataFrame:
+    """``fps`` (doc_id and fp, saved) with component_id; ``root`` has fp and root of linked fingerprints, those within RADIUS if it is not given."""
     nodes = fps.groupBy("fp").agg(F.min("doc_id").alias("rep"))
-    root = components(nodes, shard_links(nodes.select("fp")))
+    root = components(nodes, shard_links(nodes.select("fp"))) if root is None else root
     named = nodes.join(root, "fp", "left").select("fp", "rep", F.coalesce("root", "fp").alias("root"))
     name = named.groupBy("root").agg(F.min("rep").alias("component_id"))
     labels = named.join(name, "root").select("fp", "component_id")
     return fps.join(labels, "fp")
 
 
-def one_of_each(docs: DataFrame) -> DataFrame:
+def one_of_each(docs: DataFrame, exact: bool = False) -> DataFrame:
     """One document of each component, with all columns: the one with the smallest id.
 
+    Components are those of op1 or, if ``exact``, of the shingle similarity in ``near_pairs``.
+
     A row with a null id stands behind all ids and is told apart by its text; rows repeated with
     their id are reduced to one.
     """
     behind = F.lit(1 << 61) + F.xxhash64("text").bitwiseAND(F.lit((1 << 61) - 1))
     keyed = docs.withColumn("__key", F.coalesce(F.col("doc_id").cast("long"), behind, F.lit(1 << 62)))
-    fps = saved(fingerprints(keyed.select(F.col("__key").alias("doc_id"), "text")))
-    keep = labelled(fps).where("doc_id = component_id").select(F.col("doc_id").alias("__key")).distinct()
+    texts = keyed.select(F.col("__key").alias("doc_id"), "text")
+    if exact:
+        from nimbusframe.llm import near_pairs
+
+        fps = saved(near_pairs.prefixes(texts))
+        labels = labelled(fps.select("doc_id", "fp"), near_pairs.roots(texts, fps))
+    else:
+        fps = saved(fingerprints(texts))
+        labels = labelled(fps)
+    keep = labels.where("doc_id = component_id").select(F.col("doc_id").alias("__key")).distinct()
     repeated = saved(fps.groupBy("doc_id").count().where("count > 1").select(F.col("doc_id").alias("__key")))
     kept = keyed.join(keep, "__key", "left_semi")
     if not repeated.isEmpty():  # only rows repeated with their id meet in one place
