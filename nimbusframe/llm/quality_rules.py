@@ -6,9 +6,10 @@ concentration steps, and documents at too great a Mahalanobis distance are rejec
 
 A concentration step keeps the share H of a group's documents nearest to the present centre
 and takes their mean and covariance; each step is two aggregations with map-side partial
-results over the statistics of all documents, so neither hot groups nor many groups gather rows. The start
-is the coordinatewise median and MAD, the number of steps is fixed, the covariance has the
-usual consistency factor and a floor on its diagonal (many clean documents share a zero in
+results over the statistics of all documents, so neither hot groups nor many groups gather rows. There are
+three starts, all around the coordinatewise median: the MADs alone, and with them the spatial signs' or
+the hyperbolic tangents' second moments. Each takes steps until the determinant falls no more; the smallest determinant
+is kept. The covariance has the usual consistency factor and a floor on its diagonal (many clean documents share a zero in
 some statistics), and one reweighting step ends it.
 
 Groups of fewer than LEAST documents are pooled within their language, and languages that
@@ -32,9 +33,9 @@ from pyspark.sql import functions as F
 
 from nimbusframe.llm.common import WHITE, map_arrow, saved, table
 
-#: Parameters: least documents in a group, share kept by a concentration step, steps, and the tail
-#: probabilities of reweighting and rejection.
-LEAST, H, STEPS, REWEIGHT, REJECT = 100, 0.75, 4, 0.025, 1e-7
+#: Parameters: least documents in a group, share kept by a concentration step, the fall of the determinant's logarithm
+#: below which a start has settled, and the tail probabilities of reweighting and rejection.
+LEAST, H, SETTLED, REWEIGHT, REJECT = 100, 0.5, 0.01, 0.025, 1e-4
 #: The statistics of the vector and the least standard deviation taken for each.
 FEATURES = {"log_words": 0.6, "word_length": 0.5, "symbol_share": 0.06, "dup_line_share": 0.12, "repeat_share": 0.12, "upper_share": 0.1, "digit_share": 0.06}
 P = len(FEATURES)
@@ -127,23 +128,74 @@ def with_group(rows: DataFrame, groups: DataFrame, most: int = 200_000) -> DataF
 
 
 def estimates(inner: DataFrame, share: float) -> DataFrame:
-    """cell, mean and inverse covariance of the rows given (x0..x6, cell)."""
+    """cell, start, mean, inverse covariance and its determinant's logarithm of the rows given (x0..x6, cell, start)."""
     mean = [F.avg(f"x{i}").alias(f"m{i}") for i in range(P)]
     cross = [F.covar_pop(f"x{i}", f"x{j}").alias(f"c{i}_{j}") for i in range(P) for j in range(i, P)]
-    moments = inner.groupBy("cell").agg(*mean, *cross)
-    moments = moments.select("cell", F.array(*[f"m{i}" for i in range(P)]).alias("mean"), F.array(*[f"c{min(i, j)}_{max(i, j)}" for i in range(P) for j in range(P)]).alias("cov"))
+    moments = inner.groupBy("cell", "start").agg(*mean, *cross)
+    moments = moments.select("cell", "start", F.array(*[f"m{i}" for i in range(P)]).alias("mean"), F.array(*[f"c{min(i, j)}_{max(i, j)}" for i in range(P) for j in range(P)]).alias("cov"))
     factor, floor = consistency(share), np.diag(np.square(list(FEATURES.values())))
 
     def invert(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            cells, means, covs = (batch.column(i).to_pylist() for i in range(3))
-            inv = []
+            means, covs = batch.column(2), batch.column(3).to_pylist()
+            inv, det = [], []
             for c in covs:
                 # The floor is added as a prior: it keeps the matrix well conditioned and never shrinks a spread.
-                inv.append(np.linalg.inv(np.array(c).reshape(P, P) * factor + floor).ravel().tolist())
-            yield pa.RecordBatch.from_pydict({"cell": pa.array(cells, pa.string()), "mean": pa.array(means, pa.list_(pa.float64())), "inv": pa.array(inv, pa.list_(pa.float64()))})
+                full = np.array(c).reshape(P, P) * factor + floor
+                inv.append(np.linalg.inv(full).ravel().tolist())
+                det.append(np.linalg.slogdet(full)[1])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), means, pa.array(inv, pa.list_(pa.float64())), pa.array(det, pa.float64())], names=["cell", "start", "mean", "inv", "det"])
 
-    return saved(map_arrow(moments, invert, "cell string, mean array<double>, inv array<double>"))
+    return saved(map_arrow(moments, invert, "cell string, start int, mean array<double>, inv array<double>, det double"))
+
+
+def starts(passed: DataFrame) -> DataFrame:
+    """cell, start, mean and inv of each start of each group: MADs, spatial signs, hyperbolic tangents."""
+    middle = saved(passed.groupBy("cell").agg(F.array(*[F.percentile_approx(f"x{k}", 0.5, 1000) for k in range(P)]).alias("mean")))
+    off = with_group(passed, middle)
+    mads = [F.percentile_approx(F.abs(F.col(f"x{k}") - F.col("mean")[k]), 0.5, 1000) for k in range(P)]
+    least = [F.greatest(1.4826 * m, F.lit(v)) for m, v in zip(mads, FEATURES.values(), strict=True)]
+    spread = saved(off.groupBy("cell").agg(F.first("mean").alias("mean"), F.array(*least).alias("scale")))
+    z = with_group(passed, spread).select("cell", "mean", "scale", *[((F.col(f"x{k}") - F.col("mean")[k]) / F.col("scale")[k]).alias(f"z{k}") for k in range(P)])
+    square = sum((F.col(f"z{k}") * F.col(f"z{k}") for k in range(P)), F.lit(0.0))
+    z = z.withColumn("square", F.greatest(square, F.lit(1e-24)))
+    pairs = [(min(i, j), max(i, j)) for i in range(P) for j in range(P)]
+    own = sorted(set(pairs))
+    signs = [F.avg(F.col(f"z{i}") * F.col(f"z{j}") / F.col("square")).alias(f"u{i}_{j}") for i, j in own]
+    bends = [F.avg(F.tanh(f"z{i}") * F.tanh(f"z{j}")).alias(f"t{i}_{j}") for i, j in own]
+    found = z.groupBy("cell").agg(F.first("mean").alias("mean"), F.first("scale").alias("scale"), *signs, *bends)
+    found = found.select("cell", "mean", "scale", *[F.array(*[f"{c}{i}_{j}" for i, j in pairs]).alias(c) for c in "ut"])
+
+    def invert(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out: dict[str, list] = {"cell": [], "start": [], "mean": [], "inv": []}
+            for cell, mean, scale, *shapes in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                for k, shape in enumerate([np.eye(P), *(np.array(c).reshape(P, P) + 0.01 * np.eye(P) for c in shapes)]):
+                    out["cell"].append(cell)
+                    out["start"].append(k)
+                    out["mean"].append(mean)
+                    out["inv"].append(np.linalg.inv(shape * np.outer(scale, scale)).ravel().tolist())
+            yield pa.RecordBatch.from_pydict({"cell": pa.array(out["cell"], pa.string()), "start": pa.array(out["start"], pa.int32()), **{c: pa.array(out[c], pa.list_(pa.float64())) for c in ("mean", "inv")}})
+
+    return saved(map_arrow(found, invert, "cell string, start int, mean array<double>, inv array<double>"))
+
+
+def concentrated(passed: DataFrame) -> DataFrame:
+    """cell, mean and inv of the start of smallest determinant, after steps until it has settled."""
+    now = starts(passed).withColumn("det", F.lit(float("inf")))
+    done = now.limit(0)
+    while not now.isEmpty():  # a determinant has the floors' as its least, so every start settles
+        far = with_group(passed, now.select("cell", "start", "mean", "inv")).withColumn("d2", distance())
+        cut = far.groupBy("cell", "start").agg(F.percentile_approx("d2", H, 1000).alias("cut"))
+        cut = saved(now.select("cell", "start", "mean", "inv").join(cut, ["cell", "start"]))
+        inner = with_group(passed, cut).where(distance() <= F.col("cut"))
+        new = estimates(inner.select("cell", "start", *[f"x{k}" for k in range(P)]), H)
+        new = saved(new.join(now.select("cell", "start", F.col("det").alias("before")), ["cell", "start"]).withColumn("over", F.col("before") - F.col("det") < SETTLED))
+        over = new.where("over").drop("over", "before")
+        done = done.unionByName(over)
+        now = new.where(~F.col("over")).drop("over", "before")
+    best = done.groupBy("cell").agg(F.min_by(F.struct("mean", "inv"), F.struct("det", "start")).alias("best"))
+    return saved(best.select("cell", "best.mean", "best.inv"))
 
 
 def cells(stats: DataFrame) -> DataFrame:
@@ -178,19 +230,9 @@ def judged(docs: DataFrame) -> DataFrame:
     w = side.select(F.col("lang").alias("w_lang"), F.col("source").alias("w_source"), "cell")
     placed = stats.join(w, F.col("lang").eqNullSafe(F.col("w_lang")) & F.col("source").eqNullSafe(F.col("w_source")), "left").drop("w_lang", "w_source")
     passed = placed.where(~F.col("base_failed") & F.col("cell").isNotNull())
-    # Start: coordinatewise median and MAD.
-    middle = passed.groupBy("cell").agg(F.array(*[F.percentile_approx(f"x{k}", 0.5, 1000) for k in range(P)]).alias("mean"))
-    middle = saved(middle)
-    off = with_group(passed, middle)
-    spread = off.groupBy("cell").agg(F.first("mean").alias("mean"), *[F.percentile_approx(F.abs(F.col(f"x{k}") - F.col("mean")[k]), 0.5, 1000).alias(f"s{k}") for k in range(P)])
-    scale = [F.pow(F.greatest(1.4826 * F.col(f"s{k}"), F.lit(v)), F.lit(-2.0)) for k, v in enumerate(FEATURES.values())]
-    now = saved(spread.select("cell", "mean", F.array(*[scale[i] if i == j else F.lit(0.0) for i in range(P) for j in range(P)]).alias("inv")))
-    for _ in range(STEPS):
-        far = with_group(passed, now).withColumn("d2", distance())
-        cut = saved(far.groupBy("cell").agg(F.percentile_approx("d2", H, 1000).alias("cut")))
-        now = estimates(with_group(far, cut).where("d2 <= cut").select("cell", *[f"x{k}" for k in range(P)]), H)
+    now = concentrated(passed)
     inner = with_group(passed, now).where(distance() <= chi2_quantile(1 - REWEIGHT, P))
-    now = estimates(inner.select("cell", *[f"x{k}" for k in range(P)]), 1 - REWEIGHT)
+    now = estimates(inner.select("cell", F.lit(0).alias("start"), *[f"x{k}" for k in range(P)]), 1 - REWEIGHT).select("cell", "mean", "inv")
     few = now.count() <= 200_000
     out = placed.join(F.broadcast(now) if few else now, "cell", "left")
     d = F.when(~F.col("base_failed"), F.sqrt(F.greatest(distance(), F.lit(0.0))))
