@@ -2,7 +2,7 @@
 
 Regular expressions propose spans of four base kinds and of two added kinds. Validators
 confirm them (parts of an address within 255, Luhn for cards, the count of digits of phone
-numbers, mod-97 for account numbers) and words near a span move its score. Base spans that
+numbers, mod-97 for account numbers, tried at every end of a word from 15 to 34 characters) and words near a span move its score. Base spans that
 pass their validator are always reported; spans of added kinds are reported from
 THRESHOLD on.
 
@@ -48,9 +48,17 @@ KINDS = (
     Kind("ip", r"(?:\G|(?<![0-9]))[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++", ".", True, 0.6, r"\bip\b|host|server|address|login"),
     Kind("card", r"[0-9](?:[\x20-]?[0-9]){13,}+", "", True, 0.7, r"card|visa|credit|debit|payment|amex"),
     Kind("phone", r"\+[0-9][\x20().0-9-]+[0-9]", "+", True, 0.6, r"phone|tel|call|mobile|fax|cell"),
-    Kind("iban", r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]){11,30}+(?![A-Za-z0-9])", "", False, 0.7, r"iban|account|bank|konto|compte|cuenta"),
+    Kind("iban", r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]){11}", "", False, 0.7, r"iban|account|bank|konto|compte|cuenta"),
     Kind("ssn", r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])", "-", False, 0.4, r"ssn|social security|tax id"),
 )
+#: An account number's head; the kind's pattern is what a text must have at least.
+HEAD = "(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}"
+#: Countries' lengths, which decide between several ends that pass mod-97.
+LENGTHS = (
+    "AD24 AE23 AL28 AT20 AZ28 BA20 BE16 BG22 BH22 BR29 BY28 CH21 CR22 CY28 CZ24 DE22 DK18 DO28 EE20 EG29 ES24 FI18 FO18 FR27 GB22 GE22 GI23 GL18 GR27 "
+    "GT28 HR21 HU28 IE22 IL23 IQ23 IS26 IT27 JO30 KW30 KZ20 LB28 LC32 LI21 LT20 LU20 LV21 LY25 MC27 MD24 ME22 MK19 MR27 MT31 MU30 NL18 NO15 PK24 PL28 "
+    "PS29 PT25 QA29 RO24 RS22 SA24 SC31 SE24 SI19 SK24 SM27 ST25 SV28 TL23 TN24 TR26 UA29 VA22 VG24 XK20"
+)
 
 
 def digits(s: Column) -> Column:
@@ -80,6 +88,20 @@ def mod97(account: Column) -> Column:
     return F.aggregate(F.sequence(F.lit(1), F.length(bare)), F.lit(0), step) == 1
 
 
+def account(ahead: Column) -> Column:
+    """The account number that text from a head on begins with; null if none passes mod-97."""
+    run = F.regexp_extract(ahead, "^[A-Z]{2}[0-9]{2}(?:\\x20?[A-Z0-9]){0,30}+", 0)
+    whole = ~F.substring(ahead, F.length(run) + 1, F.lit(1)).rlike("[A-Za-z0-9]")
+    groups = F.split(run, " ")
+    ends = F.sequence(F.lit(1), F.size(groups) - F.when(whole, 0).otherwise(1))
+    ends = F.when(whole | (F.size(groups) > 1), ends).otherwise(F.array().cast("array<int>"))
+    bare = lambda s: F.length(F.regexp_replace(s, " ", ""))
+    passing = F.filter(F.transform(ends, lambda k: F.array_join(F.slice(groups, F.lit(1), k), " ")), lambda s: F.when(bare(s).between(15, 34), mod97(s)).otherwise(False))
+    usual = F.substring(F.lit(LENGTHS), F.instr(F.lit(LENGTHS), F.substring(ahead, 1, 2)) + 2, F.lit(2))
+    usual = F.when(F.contains(F.lit(LENGTHS), F.substring(ahead, 1, 2)), usual.cast("int")).otherwise(F.lit(0))
+    return F.coalesce(F.get(F.filter(passing, lambda s: bare(s) == usual), F.lit(0)), F.get(passing, F.size(passing) - 1))
+
+
 def valid(kind: str, match: Column) -> Column:
     n = F.length(digits(match))
     if kind == "ip":
@@ -90,7 +112,7 @@ def valid(kind: str, match: Column) -> Column:
     if kind == "phone":
         return n.between(10, 15)
     if kind == "iban":
-        return mod97(match)
+        return match.isNotNull()
     return F.lit(True)
 
 
@@ -102,18 +124,23 @@ def spans_of(text: Column, rank: int) -> Column:
     k = KINDS[rank]
     none = F.array().cast(SPAN)
     # F.get on the pieces: one more than there are matches.
-    matches = F.regexp_extract_all(text, F.lit(k.pattern), F.lit(0))
-    parts = F.arrays_zip(F.split(text, k.pattern, -1).alias("piece"), matches.alias("found"))
+    pattern = HEAD if k.name == "iban" else k.pattern
+    matches = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
+    parts = F.arrays_zip(F.split(text, pattern, -1).alias("piece"), matches.alias("found"))
 
     def step(so_far: Column, x: Column) -> Column:
         piece, found = F.length(x["piece"]).cast("long"), x["found"]
         start = so_far["pos"] + piece
-        end = start + F.coalesce(F.length(found), F.lit(0))
+        end = go_on = start + F.coalesce(F.length(found), F.lit(0))
+        if k.name == "iban":
+            before = F.coalesce(F.get(so_far["spans"], F.size(so_far["spans"]) - 1)["end"], F.lit(0).cast("long"))
+            found = F.when(found.isNotNull() & (start >= before), account(F.substring(text, start.cast("int") + 1, F.lit(68))))
+            end = start + F.coalesce(F.length(found), F.lit(0))
         near = F.lower(F.concat_ws(" ", F.substring(text, F.greatest(start - NEAR, F.lit(0)).cast("int") + 1, F.least(start, F.lit(NEAR)).cast("int")), F.substring(text, end.cast("int") + 1, F.lit(NEAR))))
         score = F.lit(k.start_score) + F.when(near.rlike(k.context), F.lit(0.3 if not k.base else 0.2)).otherwise(F.lit(0.0))
         one = F.array(F.struct(F.lit(k.name).alias("kind"), F.lit(rank).alias("rank"), start.alias("start"), end.alias("end"), F.least(score, F.lit(1.0)).alias("score"))).cast(SPAN)
         keep = valid(k.name, found) if k.base else valid(k.name, found) & (score >= THRESHOLD)
-        return F.struct(end.alias("pos"), F.when(found.isNotNull() & F.coalesce(keep, F.lit(False)), F.concat(so_far["spans"], one)).otherwise(so_far["spans"]).alias("spans"))
+        return F.struct(go_on.alias("pos"), F.when(found.isNotNull() & F.coalesce(keep, F.lit(False)), F.concat(so_far["spans"], one)).otherwise(so_far["spans"]).alias("spans"))
 
     found = F.aggregate(parts, F.struct(F.lit(0).cast("long").alias("pos"), none.alias("spans")), step)["spans"]
     some = text.rlike(k.pattern) if not k.quick else F.contains(text, F.lit(k.quick)) & text.rlike(k.pattern)
