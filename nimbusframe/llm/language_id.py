@@ -6,11 +6,11 @@ the model knows any count, in the mean; if none is known the next shorter length
 tried, down to single letters. A document's languages are compared by the sum over words.
 
 The model is learned from a bounded sample of the documents outside the held-out fold
-(``SAMPLE`` rows by a hash of the id) and keeps at most ``WORDS`` words and ``GRAMS``
+(about ``SAMPLE`` rows of each language by a hash of the id, all where there are fewer) and keeps at most ``WORDS`` words and ``GRAMS``
 n-grams of each length and language, so its size has a bound whatever the corpus.
 
 Defined cases: a null text, or one without any letter, is ``und`` with score 0. Letters but no
-evidence: the most frequent language of the sample, at the uniform score. Ties go to the
+evidence: the language of the most training rows, at the uniform score. Ties go to the
 language first in alphabetical order. No training rows at all: every text is ``und``.
 Repeated rows are each predicted; a null id is never held out.
 """
@@ -76,11 +76,12 @@ class Model:
 def fit(docs: DataFrame, sample: int = SAMPLE) -> Model:
     """Learn from ``docs`` (text, lang and id) outside fold 2 of 4."""
     fold_in = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & ~is_fold(F.col("doc_id"), 4, 2))
-    n = fold_in.select("doc_id").count()
-    if not n:
+    counts = {r["lang"]: r["n"] for r in fold_in.groupBy("lang").agg(F.count("*").alias("n")).collect()}
+    if not counts:
         return Model([], [{} for _ in range(LONGEST + 1)], np.zeros(0))
-    bound = int((1 << 30) * min(1.0, sample / n)) + 1
-    picked = fold_in.where(F.pmod(F.xxhash64("doc_id", F.lit("language-sample")), F.lit(1 << 30)) < bound).select("lang", "text")
+    bounds = docs.sparkSession.createDataFrame([(lang, int((1 << 30) * min(1.0, sample / n)) + 1) for lang, n in counts.items()], "lang string, bound long")
+    placed = fold_in.withColumn("place", F.pmod(F.xxhash64("doc_id", F.lit("language-sample")), F.lit(1 << 30))).select("lang", "text", "place")
+    picked = placed.join(F.broadcast(bounds), "lang").where("place < bound").select("lang", "text")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -118,7 +119,7 @@ def fit(docs: DataFrame, sample: int = SAMPLE) -> Model:
         size = totals[n] + SMOOTH * (len(t) + 1)
         for g in t:
             t[g] = np.log((t[g] + SMOOTH) / size)
-    return Model(langs, tables, totals[0])
+    return Model(langs, tables, np.array([counts[k] for k in langs], dtype=np.float64))
 
 
 def judge(m: Model, known: TokenTable, texts: list[str | None]) -> tuple[list[str], np.ndarray]:
