@@ -84,14 +84,19 @@ def simhashes(texts: list[str | None], size: int = SHINGLE) -> np.ndarray:
     return out
 
 
+def text_hashes(texts: list[str | None]) -> np.ndarray:
+    """What xxhash64 gives for each text."""
+    return np.array([42 if t is None else xxh64_intdigest(t.encode(), 42) for t in texts], dtype=np.uint64).view(np.int64)
+
+
 def fingerprints(docs: DataFrame) -> DataFrame:
-    """doc_id and fp (the fingerprint as a signed long) of every document."""
+    """doc_id, fp (the fingerprint as a signed long) and th (the text's hash) of every document."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for ids, texts in merged(batches):
-            yield pa.RecordBatch.from_pydict({"doc_id": pa.array(ids, pa.int64()), "fp": pa.array(simhashes(texts).view(np.int64), pa.int64())})
+            yield pa.RecordBatch.from_pydict({"doc_id": pa.array(ids, pa.int64()), "fp": pa.array(simhashes(texts).view(np.int64), pa.int64()), "th": pa.array(text_hashes(texts))})
 
-    return map_arrow(docs.select("doc_id", "text"), run, "doc_id long, fp long")
+    return map_arrow(docs.select("doc_id", "text"), run, "doc_id long, fp long, th long")
 
 
 class BKTree:
@@ -243,12 +248,12 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 
 
 def labelled(fps: DataFrame, root: DataFrame | None = None) -> DataFrame:
-    """``fps`` (doc_id and fp, saved) with component_id; ``root`` has fp and root of linked fingerprints, those within RADIUS if it is not given."""
+    """``fps`` (doc_id and fp, saved) with component_id and the component's root; ``root`` has fp and root of linked fingerprints, those within RADIUS if it is not given."""
     nodes = fps.groupBy("fp").agg(F.min("doc_id").alias("rep"))
     root = components(nodes, shard_links(nodes.select("fp"))) if root is None else root
     named = nodes.join(root, "fp", "left").select("fp", "rep", F.coalesce("root", "fp").alias("root"))
     name = named.groupBy("root").agg(F.min("rep").alias("component_id"))
-    labels = named.join(name, "root").select("fp", "component_id")
+    labels = named.join(name, "root").select("fp", "root", "component_id")
     return fps.join(labels, "fp")
 
 
@@ -257,8 +262,9 @@ def one_of_each(docs: DataFrame, exact: bool = False) -> DataFrame:
 
     Components are those of op1 or, if ``exact``, of the shingle similarity in ``near_pairs``.
 
-    A row with a null id stands behind all ids and is told apart by its text; rows repeated with
-    their id are reduced to one.
+    A row with a null id stands behind all ids and is told apart by its text. Rows with one id and
+    different texts count each for itself; rows repeated with id and text are reduced to the one whose columns have
+    the smallest hash.
     """
     behind = F.lit(1 << 61) + F.xxhash64("text").bitwiseAND(F.lit((1 << 61) - 1))
     keyed = docs.withColumn("__key", F.coalesce(F.col("doc_id").cast("long"), behind, F.lit(1 << 62)))
@@ -267,17 +273,18 @@ def one_of_each(docs: DataFrame, exact: bool = False) -> DataFrame:
         from nimbusframe.llm import near_pairs
 
         fps = saved(near_pairs.prefixes(texts))
-        labels = labelled(fps.select("doc_id", "fp"), near_pairs.roots(texts, fps))
+        labels = labelled(fps.select("doc_id", "fp", "th"), near_pairs.roots(texts, fps))
     else:
         fps = saved(fingerprints(texts))
         labels = labelled(fps)
-    keep = labels.where("doc_id = component_id").select(F.col("doc_id").alias("__key")).distinct()
-    repeated = saved(fps.groupBy("doc_id").count().where("count > 1").select(F.col("doc_id").alias("__key")))
-    kept = keyed.join(keep, "__key", "left_semi")
-    if not repeated.isEmpty():  # only rows repeated with their id meet in one place
-        again = kept.join(repeated, "__key", "left_semi")
-        first = again.dropDuplicates(["__key"])
-        kept = kept.join(repeated, "__key", "left_anti").unionByName(first)
+    keep = labels.where("doc_id = component_id").groupBy("root").agg(F.min("doc_id").alias("__key"), F.min("th").alias("__text")).drop("root").distinct()
+    repeated = saved(fps.groupBy("doc_id", "th").count().where("count > 1").select(F.col("doc_id").alias("__key"), F.col("th").alias("__text")))
+    both = ["__key", "__text"]
+    kept = keyed.withColumn("__text", F.xxhash64("text")).join(keep, both, "left_semi")
+    if not repeated.isEmpty():  # only rows repeated with id and text meet in one place
+        again = kept.join(repeated, both, "left_semi")
+        first = again.groupBy(*both).agg(F.min_by(F.struct(*docs.columns), F.xxhash64(*docs.columns)).alias("__row")).select("__row.*")
+        kept = kept.join(repeated, both, "left_anti").select(*docs.columns).unionByName(first)
     return kept.select(*docs.columns)
 
 
