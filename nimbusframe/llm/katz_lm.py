@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from xxhash import xxh64_intdigest
 
-from nimbusframe.llm.common import TokenTable, is_fold, map_arrow, merged, saved, table
+from nimbusframe.llm.common import TokenTable, from_planes, is_fold, map_arrow, merged, planes, runs, saved, table
 
 #: Parameters: words of one in so many tokens have a class; pairs of words of one in HOT tokens are dealt by row;
 #: discounts up to count CUT; entries in a block of documents; training tokens to a bucket of pairs; held-out fold.
@@ -48,26 +48,6 @@ def words(text: str | None) -> list[bytes]:
     return [*text.encode().lower().split(), END] if text else [END]
 
 
-def planes(*columns: np.ndarray) -> bytes:
-    """The columns' bytes, those of equal weight together, compressed."""
-    return zlib.compress(b"".join(np.ascontiguousarray(c).view(np.uint8).reshape(-1, c.itemsize).T.tobytes() for c in columns), 1)
-
-
-def from_planes(blob: bytes, *kinds: type) -> list[np.ndarray]:
-    raw = zlib.decompress(blob)
-    sizes = [np.dtype(k).itemsize for k in kinds]
-    n, at, out = len(raw) // sum(sizes), 0, []
-    for k, size in zip(kinds, sizes, strict=True):
-        out.append(np.ascontiguousarray(np.frombuffer(raw, dtype=np.uint8, count=n * size, offset=at).reshape(size, n).T).view(k)[:, 0])
-        at += n * size
-    return out
-
-
-def runs(sorted_values: np.ndarray) -> np.ndarray:
-    """Where each run of equal values starts."""
-    return np.flatnonzero(np.concatenate([[True], sorted_values[1:] != sorted_values[:-1]])) if len(sorted_values) else np.zeros(0, dtype=np.int64)
-
-
 def count_words(docs: DataFrame) -> DataFrame:
     """h and c: how often each word stands in the training rows."""
     train = docs.where(~is_fold(F.col("doc_id"), *FOLD)).select("doc_id", "text")

@@ -272,8 +272,9 @@ def one_of_each(docs: DataFrame, exact: bool = False) -> DataFrame:
     if exact:
         from nimbusframe.llm import near_pairs
 
-        fps = saved(near_pairs.prefixes(texts))
-        labels = labelled(fps.select("doc_id", "fp", "th"), near_pairs.roots(texts, fps))
+        common = near_pairs.common_shingles(texts)
+        fps = saved(near_pairs.prefixes(texts, common))
+        labels = labelled(fps.select("doc_id", "fp", "th"), near_pairs.roots(texts, fps, common[0]))
     else:
         fps = saved(fingerprints(texts))
         labels = labelled(fps)
