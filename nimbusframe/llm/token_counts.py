@@ -47,47 +47,45 @@ class Counter:
 
     def count(self, word: str) -> tuple[int, float]:
         """Tokens and score of a word, which begins with its blank."""
-        if self.unknown in word:
-            return self.traced(word)
         n = len(word)
         best, tokens = [0.0] * (n + 1), [0] * (n + 1)
         pieces, unknown = self.pieces, self.unknown_score
         ends: list[list] = [[] for _ in range(n)]
         for end, item in self.search.iter(word):
             ends[end].append(item)
+        traced = self.unknown in word
+        start = [0] * (n + 1) if traced else []
         for end in range(n):
             s = t = None
             for length, score in ends[end]:  # longest first: earliest start first
                 x = best[end + 1 - length] + score
                 if s is None or x > s:
                     s, t = x, tokens[end + 1 - length] + 1
+                    if traced:
+                        start[end + 1] = end + 1 - length
             if word[end] not in pieces:
                 x = best[end] + unknown
                 if s is None or x > s:
                     s, t = x, tokens[end] + len(word[end].encode())
+                    if traced:
+                        start[end + 1] = end
             best[end + 1], tokens[end + 1] = s, t
-        return tokens[n], best[n]
+        return (self.traced(word, start) if traced else tokens[n]), best[n]
 
-    def traced(self, word: str) -> tuple[int, float]:
-        """As ``count``, by the path: a word that spells the unknown piece out, which runs together with unknown characters."""
-        n = len(word)
-        best, start = [0.0] * (n + 1), [-1] * (n + 1)
-        for i in range(n):
-            for j in range(i + 1, n + 1):
-                if (score := self.pieces.get(word[i:j])) is not None and (start[j] < 0 or best[i] + score > best[j]):
-                    best[j], start[j] = best[i] + score, i
-            if word[i] not in self.pieces and (start[i + 1] < 0 or best[i] + self.unknown_score > best[i + 1]):
-                best[i + 1], start[i + 1] = best[i] + self.unknown_score, i
-        total, run, end = 0, "", n
+    def traced(self, word: str, start: list[int]) -> int:
+        """Tokens on the best way, given by where each of its pieces starts, in a word that spells the unknown piece out: that runs together with unknown characters."""
+        total, end = 0, len(word)
+        run = end  # where the run of unknown pieces that ends at `stop` starts
+        stop = end
         while end > 0:
             piece = word[start[end] : end]
             if piece == self.unknown or piece not in self.pieces:
-                run = piece + run
+                run = start[end]
             else:
-                total += self.width(run) + 1
-                run = ""
+                total += self.width(word[run:stop]) + 1
+                run = stop = start[end]
             end = start[end]
-        return total + self.width(run), best[n]
+        return total + self.width(word[run:stop])
 
     def width(self, run: str) -> int:
         return 0 if not run else 1 if run in self.pieces else len(run.encode())
