@@ -6,8 +6,8 @@ the model knows any count, in the mean; if none is known the next shorter length
 tried, down to single letters. A document's languages are compared by the sum over words.
 
 The model is learned from a bounded sample of the documents outside the held-out fold
-(about ``SAMPLE`` rows of each language by a hash of the id, all where there are fewer) and keeps at most ``WORDS`` words and ``GRAMS``
-n-grams of each length and language, so its size has a bound whatever the corpus.
+(about ``SAMPLE`` rows of each language by a hash of id and text, all where there are fewer; texts over ``MAX_CHARS``
+characters are predicted whole but not learned from) and keeps every word and n-gram of it, so its size has a bound whatever the corpus.
 
 Defined cases: a null text, or one without any letter, is ``und`` with score 0. Letters but no
 evidence: the language of the most training rows, at the uniform score. Ties go to the
@@ -22,14 +22,14 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import regex
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from nimbusframe.llm.common import TokenTable, is_fold, map_arrow, merged, segment, table
 from nimbusframe.llm.subwords import tokens_of
 
 #: Parameters.
-SAMPLE, WORDS, GRAMS, LONGEST, SMOOTH, LEAST_SCORE = 3000, 30_000, 20_000, 4, 0.5, 0.3
+SAMPLE, MAX_CHARS, LONGEST, SMOOTH, LEAST_SCORE = 3000, 100_000, 4, 0.5, 0.3
 LETTERS = regex.compile(r"\p{L}+(?:['’]\p{L}+)*").findall
 
 
@@ -75,12 +75,12 @@ class Model:
 
 def fit(docs: DataFrame, sample: int = SAMPLE) -> Model:
     """Learn from ``docs`` (text, lang and id) outside fold 2 of 4."""
-    fold_in = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & ~is_fold(F.col("doc_id"), 4, 2))
+    fold_in = docs.where(F.col("lang").isNotNull() & (F.length("text") <= MAX_CHARS) & ~is_fold(F.col("doc_id"), 4, 2))
     counts = {r["lang"]: r["n"] for r in fold_in.groupBy("lang").agg(F.count("*").alias("n")).collect()}
     if not counts:
         return Model([], [{} for _ in range(LONGEST + 1)], np.zeros(0))
     bounds = docs.sparkSession.createDataFrame([(lang, int((1 << 30) * min(1.0, sample / n)) + 1) for lang, n in counts.items()], "lang string, bound long")
-    placed = fold_in.withColumn("place", F.pmod(F.xxhash64("doc_id", F.lit("language-sample")), F.lit(1 << 30))).select("lang", "text", "place")
+    placed = fold_in.withColumn("place", F.pmod(F.xxhash64("doc_id", "text", F.lit("language-sample")), F.lit(1 << 30))).select("lang", "text", "place")
     picked = placed.join(F.broadcast(bounds), "lang").where("place < bound").select("lang", "text")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -97,24 +97,16 @@ def fit(docs: DataFrame, sample: int = SAMPLE) -> Model:
             yield pa.RecordBatch.from_pydict({"lang": [k[0] for k in keys], "n": pa.array([k[1] for k in keys], pa.int32()), "gram": [k[2] for k in keys], "c": pa.array(list(seen.values()), pa.int64())})
 
     counted = map_arrow(picked, count, "lang string, n int, gram string, c long").groupBy("lang", "n", "gram").agg(F.sum("c").alias("c"))
-    top = Window.partitionBy("lang", "n").orderBy(F.desc("c"), "gram")
-    rows = (
-        counted.withColumn("total", F.sum("c").over(Window.partitionBy("lang", "n")))
-        .withColumn("place", F.row_number().over(top))
-        .where(F.col("place") <= F.when(F.col("n") == 0, WORDS).otherwise(GRAMS))
-        .select("lang", "n", "gram", "c", "total")
-        .toArrow()
-        .to_pydict()
-    )
+    rows = counted.select("lang", "n", "gram", "c").toArrow().to_pydict()  # what the sample holds
     langs = sorted(set(rows["lang"]))
     if not langs:
         return Model([], [{} for _ in range(LONGEST + 1)], np.zeros(0))
     at = {k: i for i, k in enumerate(langs)}
     tables: list[dict[str, np.ndarray]] = [{} for _ in range(LONGEST + 1)]
-    totals = np.ones((LONGEST + 1, len(langs)))
-    for lang, n, g, c, total in zip(*rows.values(), strict=True):
+    totals = np.zeros((LONGEST + 1, len(langs)))
+    for lang, n, g, c in sorted(zip(*rows.values(), strict=True)):
         tables[n].setdefault(g, np.zeros(len(langs)))[at[lang]] = c
-        totals[n, at[lang]] = total
+        totals[n, at[lang]] += c
     for n, t in enumerate(tables):
         size = totals[n] + SMOOTH * (len(t) + 1)
         for g in t:
