@@ -12,8 +12,8 @@ the hyperbolic tangents' second moments. Each takes steps until the determinant
 is kept. The covariance has the usual consistency factor and a floor on its diagonal (many clean documents share a zero in
 some statistics), and one reweighting step ends it.
 
-Groups of fewer than LEAST documents are pooled within their language, and languages that
-still have fewer are pooled together; if that pool is small too, its documents are not rejected.
+Groups of fewer than LEAST documents, five for each statistic, have too few for an estimate of their own: they are pooled within their
+language, and languages that still have fewer are pooled together. That last pool is judged whatever its size.
 
 Defined cases: null, empty and blank texts have zero words and fail the base rules. A null
 language or source is a value of its own. Lines are those of splitting at \\n; a line counts as a
@@ -35,7 +35,7 @@ from nimbusframe.llm.common import WHITE, map_arrow, saved, table
 
 #: Parameters: least documents in a group, share kept by a concentration step, the fall of the determinant's logarithm
 #: below which a start has settled, and the tail probabilities of reweighting and rejection.
-LEAST, H, SETTLED, REWEIGHT, REJECT = 100, 0.5, 0.01, 0.025, 1e-4
+LEAST, H, SETTLED, REWEIGHT, REJECT = 35, 0.5, 0.01, 0.025, 1e-4
 #: The statistics of the vector and the least standard deviation taken for each.
 FEATURES = {"log_words": 0.6, "word_length": 0.5, "symbol_share": 0.06, "dup_line_share": 0.12, "repeat_share": 0.12, "upper_share": 0.1, "digit_share": 0.06}
 P = len(FEATURES)
@@ -199,14 +199,12 @@ def concentrated(passed: DataFrame) -> DataFrame:
 
 
 def cells(stats: DataFrame) -> DataFrame:
-    """The group of each language and source: lang, source, cell; null where too few documents remain."""
+    """The group of each language and source: lang, source, cell."""
     key = lambda *c: F.concat_ws("\u0001", *[F.coalesce(F.concat(F.lit("="), F.col(x)), F.lit("-")) for x in c])
     n = saved(stats.where(~F.col("base_failed")).groupBy("lang", "source").agg(F.count("*").alias("n")))
     own = n.select("lang", "source", "n", F.when(F.col("n") >= LEAST, F.concat(F.lit("s"), key("lang", "source"))).otherwise(F.concat(F.lit("l"), key("lang"))).alias("cell"))
     size = own.groupBy("cell").agg(F.sum("n").alias("size"))
-    own = own.join(size, "cell").withColumn("cell", F.when(F.col("size") >= LEAST, F.col("cell")).otherwise(F.lit("rest"))).drop("size")
-    rest = own.groupBy("cell").agg(F.sum("n").alias("size"))
-    return own.join(rest, "cell").where(F.col("size") >= LEAST).select("lang", "source", "cell")
+    return own.join(size, "cell").select("lang", "source", F.when(F.col("size") >= LEAST, F.col("cell")).otherwise(F.lit("rest")).alias("cell"))
 
 
 def judged(docs: DataFrame) -> DataFrame:
