@@ -30,11 +30,13 @@ def is_fold(doc_id: Column, modulus: int, rest: int) -> Column:
 
 
 def work_dir(spark: SparkSession) -> None:
-    """Make sure checkpoint() has a folder: the cluster's own, else one for tests."""
+    """Make sure checkpoint() has a folder: the cluster's own or, where driver and executors are one process, one for tests."""
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
         folder = spark.conf.get("spark.checkpoint.dir", None)
         if not folder:
+            if not sc.master.startswith("local"):
+                raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
             import tempfile
 
             folder = tempfile.mkdtemp(prefix="nimbus-ckpt-")
@@ -47,6 +49,14 @@ def saved(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def forget(df: DataFrame) -> None:
+    """Deletes the files of rows that were ``saved`` and that nothing reads any more."""
+    file = df._jdf.queryExecution().analyzed().rdd().getCheckpointFile()
+    if file.isDefined():
+        path = df.sparkSession._jvm.org.apache.hadoop.fs.Path(file.get())
+        path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def map_arrow(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
     """mapInArrow with batches small enough for very long texts."""
     spark = df.sparkSession
@@ -90,8 +100,8 @@ def merged(batches: Iterable[pa.RecordBatch], chars: int = 4_000_000) -> Iterato
         yield ids, texts
 
 
-def sampled_labels(spark: SparkSession, sf_dir: str, label: str, rows: int, modulus: int = 4, rest: int = 2, max_chars: int = 100_000) -> tuple[list[str], np.ndarray]:
-    """Texts and labels of a bounded training sample.
+def sampled_labels(spark: SparkSession, sf_dir: str, label: str, rows: int, modulus: int = 4, rest: int = 2, max_chars: int = 100_000, beside: str | None = None) -> tuple:
+    """Texts and labels of a bounded training sample, and the column ``beside`` if one is named.
 
     Rows of ``labels`` outside the held-out fold are taken in the order of a hash of
     their id until about ``rows`` are reached for each label value; texts over
@@ -111,11 +121,15 @@ def sampled_labels(spark: SparkSession, sf_dir: str, label: str, rows: int, modu
     for y, n in counts.items():
         keep = keep | ((F.col("y") == y) & (F.col("h") < int((1 << 30) * min(1.0, rows / n))))
     picked = lab.where(keep).select("doc_id", "y")  # about 2 * rows narrow rows, whatever the corpus
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text").where(F.col("text").isNotNull() & (F.length("text") <= max_chars))
-    found = docs.join(F.broadcast(picked), "doc_id").groupBy("doc_id", "y").agg(F.min("text").alias("text")).toArrow()  # a repeated id counts once
+    docs = table(spark, sf_dir, "documents").where(F.col("text").isNotNull() & (F.length("text") <= max_chars))
+    docs = docs.select("doc_id", F.struct("text", F.col(beside).alias("beside") if beside else F.lit(None).cast("string").alias("beside")).alias("row"))
+    found = docs.join(F.broadcast(picked), "doc_id").groupBy("doc_id", "y").agg(F.min("row").alias("row")).select("doc_id", "y", "row.*").toArrow()  # a repeated id counts once
     order = np.lexsort((np.array(found["y"].to_pylist(), dtype=np.int64), np.array(found["doc_id"].to_pylist(), dtype=np.int64)))
     texts, ys = found["text"].to_pylist(), np.array(found["y"].to_pylist(), dtype=np.int64)
-    return [texts[i] for i in order], ys[order]
+    if beside is None:
+        return [texts[i] for i in order], ys[order]
+    more = found["beside"].to_pylist()
+    return [texts[i] for i in order], ys[order], [more[i] for i in order]
 
 
 def planes(*columns: np.ndarray) -> bytes:

@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from xxhash import xxh64_intdigest
 
-from nimbusframe.llm.common import map_arrow, merged, saved, segment, table
+from nimbusframe.llm.common import forget, map_arrow, merged, saved, segment, table
 
 #: Parameters: links differ in at most RADIUS bits; words in a shingle; blocks of bits; most nodes in one tree; leaf size.
 RADIUS, SHINGLE, WIDTHS, PART, LEAF = 3, 3, (13, 13, 13, 13, 12), 4000, 48
@@ -218,13 +218,12 @@ def shard_links(nodes: DataFrame, radius: int = RADIUS) -> DataFrame:
     return map_arrow(dealt.select("shard", "pa", "pb", "query", "fp"), run, "a long, b long")
 
 
-def components(nodes: DataFrame, links: DataFrame, most_rounds: int = 60) -> DataFrame:
+def components(links: DataFrame, most_rounds: int = 60) -> DataFrame:
     """fp and root for each node that has a link: alternating large-star and small-star steps.
 
     Each step keeps the graph's components and no more edges than before; the process ends
     when the edges are stars around the smallest node of each component.
     """
-    del nodes
     edges = saved(links.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct())
     before = None
     for _ in range(most_rounds):
@@ -233,7 +232,8 @@ def components(nodes: DataFrame, links: DataFrame, most_rounds: int = 60) -> Dat
         large = both.join(low, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
         small_low = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(small_low, "a").select(F.explode(F.array(F.struct("a", F.col("m").alias("b")), F.struct(F.col("b").alias("a"), F.col("m").alias("b")))).alias("e")).select("e.a", "e.b").where("a <> b").distinct()
-        edges = saved(small)
+        old, edges = edges, saved(small)
+        forget(old)
         now = edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if now == before:
             return edges.select(F.col("a").alias("fp"), F.col("b").alias("root"))
@@ -250,7 +250,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 def labelled(fps: DataFrame, root: DataFrame | None = None) -> DataFrame:
     """``fps`` (doc_id and fp, saved) with component_id and the component's root; ``root`` has fp and root of linked fingerprints, those within RADIUS if it is not given."""
     nodes = fps.groupBy("fp").agg(F.min("doc_id").alias("rep"))
-    root = components(nodes, shard_links(nodes.select("fp"))) if root is None else root
+    root = components(shard_links(nodes.select("fp"))) if root is None else root
     named = nodes.join(root, "fp", "left").select("fp", "rep", F.coalesce("root", "fp").alias("root"))
     name = named.groupBy("root").agg(F.min("rep").alias("component_id"))
     labels = named.join(name, "root").select("fp", "root", "component_id")
