@@ -46,7 +46,17 @@ def work_dir(spark: SparkSession) -> None:
 def saved(df: DataFrame) -> DataFrame:
     """The rows written to the shared checkpoint folder, with their lineage cut."""
     work_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    out = df.checkpoint(eager=True)
+    release(df.sparkSession)
+    return out
+
+
+def release(spark: SparkSession) -> None:
+    """Lets Spark's cleaner see which shuffles nothing refers to any more; without, their files stay until the driver happens to collect garbage."""
+    import gc
+
+    gc.collect()
+    spark._jvm.System.gc()
 
 
 def forget(df: DataFrame) -> None:
