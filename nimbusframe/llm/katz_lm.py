@@ -488,9 +488,12 @@ def backed_off(scored: DataFrame, counts: DataFrame, d: float) -> DataFrame:
     lists = scored.where("kind = 11").select("v", F.col("w").alias("h")).join(counts, "h", "left").groupBy("v").agg(F.sum(chance).alias("elsewhere"))
     weights = scored.where("kind = 10").select("v", "x", "y").join(lists, "v", "left")
     weights = weights.select("v", F.log10(F.col("x") / (F.col("y") - F.coalesce("elsewhere", F.lit(0.0)))).alias("weight"))
-    asks = scored.where("kind = 12").select("first", "times", "x", F.expr("nullif(v, 0L)").alias("v"), F.expr("nullif(w, 0L)").alias("h"))
-    asks = asks.join(weights, "v", "left").join(counts, "h", "left")
-    logs = F.when(F.col("h").isNotNull(), F.log10(chance)).otherwise(F.col("x")) + F.coalesce("weight", F.lit(0.0))
+    asks = scored.where("kind = 12").select("first", "times", "x", "v", F.col("w").alias("h"))
+    zero = F.lit(0.0).alias("weight")  # a context never seen; such rows have no key to join on and would meet in one task
+    asks = asks.where("v <> 0").join(weights, "v").drop("v").unionByName(asks.where("v = 0").select("first", "times", "x", "h", zero))
+    with_word = asks.where("h <> 0").join(counts, "h", "left").withColumn("x", F.log10(chance)).select("first", "times", "x", "weight")
+    asks = with_word.unionByName(asks.where("h = 0").select("first", "times", "x", "weight"))
+    logs = F.col("x") + F.col("weight")
     return asks.select("first", (logs * F.col("times")).alias("part"), F.lit(0.0).alias("more"), F.lit(0).cast("long").alias("known"))
 
 
