@@ -37,6 +37,8 @@ from nimbusframe.llm.common import forget, map_arrow, merged, saved, segment, ta
 
 #: Parameters: links differ in at most RADIUS bits; words in a shingle; blocks of bits; most nodes in one tree; leaf size.
 RADIUS, SHINGLE, WIDTHS, PART, LEAF = 3, 3, (13, 13, 13, 13, 12), 4000, 48
+#: Most keys of kept documents that are broadcast.
+KEYS = 1_000_000
 
 
 def shingle_hashes(text: str | None, size: int = SHINGLE) -> list[int]:
@@ -281,7 +283,9 @@ def one_of_each(docs: DataFrame, exact: bool = False) -> DataFrame:
     keep = labels.where("doc_id = component_id").groupBy("root").agg(F.min("doc_id").alias("__key"), F.min("th").alias("__text")).drop("root").distinct()
     repeated = saved(fps.groupBy("doc_id", "th").count().where("count > 1").select(F.col("doc_id").alias("__key"), F.col("th").alias("__text")))
     both = ["__key", "__text"]
-    kept = keyed.withColumn("__text", F.xxhash64("text")).join(keep, both, "left_semi")
+    keep = saved(keep)
+    side = F.broadcast(keep) if keep.count() <= KEYS else keep  # 16 bytes a row; beyond that the texts travel
+    kept = keyed.withColumn("__text", F.xxhash64("text")).join(side, both, "left_semi")
     if not repeated.isEmpty():  # only rows repeated with id and text meet in one place
         again = kept.join(repeated, both, "left_semi")
         first = again.groupBy(*both).agg(F.min_by(F.struct(*docs.columns), F.xxhash64(*docs.columns)).alias("__row")).select("__row.*")
