@@ -14,6 +14,8 @@ from nimbusframe.functions.moments import valid
 
 #: Weight of a source that coincides with its target.
 COINCIDENT = 1e12
+#: A cell of the neighbour search holds no more sources than so many times those looked for.
+CROWD = 32
 
 
 def settled(df: DataFrame) -> DataFrame:
@@ -22,6 +24,8 @@ def settled(df: DataFrame) -> DataFrame:
     if sc.getCheckpointDir() is None:
         folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
         if not folder:
+            if not sc.master.startswith("local"):
+                raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
             import tempfile
 
             folder = tempfile.mkdtemp(prefix="nimbus-ckpt-")
@@ -29,40 +33,50 @@ def settled(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def knn(targets: DataFrame, sources: DataFrame, k: int, per_cell: float = 4.0) -> DataFrame:
+def knn(targets: DataFrame, sources: DataFrame, k: int, per_cell: float = 4.0, dims: tuple[str, ...] = ("x", "y")) -> DataFrame:
     """The k nearest sources of every target: trg_id, rank (1 is nearest), src_id, d2.
 
-    ``targets`` has trg_id, x, y; ``sources`` has src_id, x, y. Ties go to the smaller src_id. Points are
-    put into square cells of about ``per_cell`` sources; a target meets the sources of the cells
-    around its own in an equi-join. A target whose k-th neighbour may lie outside them goes on to a ring
+    ``targets`` has trg_id and the coordinates ``dims``; ``sources`` has src_id and them. Ties go to the smaller src_id. Points are
+    put into cells with no more than ``CROWD`` times ``per_cell`` sources in the fullest, so clusters don't crowd one cell; a target meets the
+    sources of the cells around its own in an equi-join. A target whose k-th neighbour may lie outside them goes on to a ring
     twice as wide; as rings grow the number of targets left falls, and the search ends when
-    a ring spans all sources. Nothing is broadcast and no pair outside the rings is formed.
+    a ring spans all sources. Nothing is broadcast and no pair outside the rings is formed. Points with a missing coordinate are
+    left out on both sides.
     """
-    box = sources.agg(F.count("*").alias("n"), F.min("x"), F.max("x"), F.min("y"), F.max("y")).first()
-    trg = targets.select("trg_id", F.col("x").cast("double").alias("x"), F.col("y").cast("double").alias("y"))
-    src = sources.select("src_id", F.col("x").cast("double").alias("sx"), F.col("y").cast("double").alias("sy"))
+    there = lambda df: df.where(" and ".join(f"{c} is not null and not isnan({c})" for c in dims))
+    trg = there(targets.select("trg_id", *[F.col(c).cast("double").alias(c) for c in dims]))
+    src = there(sources.select("src_id", *[F.col(c).cast("double").alias(c) for c in dims])).select("src_id", *[F.col(c).alias(f"s{c}") for c in dims])
+    ends = [f(c).alias(f"{n}_{c}") for c in dims for n, f in (("low", F.min), ("high", F.max))]
+    box = src.select(*[F.col(f"s{c}").alias(c) for c in dims]).agg(F.count("*").alias("n"), *ends).first()
+    t = trg.agg(*ends).first()
     n = box["n"]
-    none = "trg_id long, rank int, src_id long, d2 double"
-    if not n:
-        return targets.sparkSession.createDataFrame([], none)
-    wide = max(box["max(x)"] - box["min(x)"], box["max(y)"] - box["min(y)"], 1e-9)
-    area = max((box["max(x)"] - box["min(x)"]) * (box["max(y)"] - box["min(y)"]), wide * wide / max(n, 1))
-    size = max(math.sqrt(area * max(k, per_cell) / n), wide / 1e6)
-    cell = lambda v: F.floor(F.col(v) / size)
-    src = src.withColumn("cx", cell("sx")).withColumn("cy", cell("sy"))
+    if not n or t[f"low_{dims[0]}"] is None:
+        return targets.sparkSession.createDataFrame([], "trg_id long, rank int, src_id long, d2 double")
+    widths = [box[f"high_{c}"] - box[f"low_{c}"] for c in dims]
+    wide = max(*widths, 1e-9)
+    space = math.prod(max(w, wide / max(n, 1)) for w in widths)
+    least = wide / 1e6
+    size = max((space * max(k, per_cell) / n) ** (1 / len(dims)), least)
+    while size > least:
+        fullest = src.groupBy(*[F.floor(F.col(f"s{c}") / size) for c in dims]).agg(F.count("*").alias("n")).agg(F.max("n")).first()[0]
+        if fullest <= CROWD * max(k, per_cell):
+            break
+        size = max(size / 4, least)
     out, ring, left = None, 1, trg
     # Farthest a target can be from the box of the sources, in cells.
-    t = trg.agg(F.min("x"), F.max("x"), F.min("y"), F.max("y")).first()
-    if t["min(x)"] is None:
-        return targets.sparkSession.createDataFrame([], none)
-    reach = max(abs(box[f"{a}({v})"] - t[f"{b}({v})"]) for v in "xy" for a, b in (("max", "min"), ("min", "max"))) / size + 2
+    reach = max(abs(box[f"{a}_{c}"] - t[f"{b}_{c}"]) for c in dims for a, b in (("high", "low"), ("low", "high"))) / size + 2
+    shifts = [()]
+    for _ in dims:
+        shifts = [(*x, i) for x in shifts for i in (-1, 0, 1)]
+    keys = [f"c{c}" for c in dims]
     while True:
-        # A ring wider than a few cells is walked on coarser cells, so that a target looks at nine cells only.
+        # A ring wider than a few cells is walked on coarser cells, so that a target looks at its own and those next to it only.
         coarse = size * ring
-        cells = left.select("*", F.explode(F.array(*[F.struct((F.floor(F.col("x") / coarse) + i).alias("cx"), (F.floor(F.col("y") / coarse) + j).alias("cy")) for i in (-1, 0, 1) for j in (-1, 0, 1)])).alias("c"))
-        cells = cells.select("trg_id", "x", "y", "c.cx", "c.cy")
-        s = src.withColumn("cx", F.floor(F.col("sx") / coarse)).withColumn("cy", F.floor(F.col("sy") / coarse))
-        pairs = cells.join(s, ["cx", "cy"]).select("trg_id", "src_id", (F.pow(F.col("x") - F.col("sx"), F.lit(2.0)) + F.pow(F.col("y") - F.col("sy"), F.lit(2.0))).alias("d2"))
+        around = [F.struct(*[(F.floor(F.col(c) / coarse) + i).alias(f"c{c}") for c, i in zip(dims, shift, strict=True)]) for shift in shifts]
+        cells = left.select("*", F.explode(F.array(*around)).alias("c")).select("trg_id", *dims, "c.*")
+        s = src.select("*", *[F.floor(F.col(f"s{c}") / coarse).alias(f"c{c}") for c in dims])
+        d2 = sum((F.pow(F.col(c) - F.col(f"s{c}"), F.lit(2.0)) for c in dims), F.lit(0.0))
+        pairs = cells.join(s, keys).select("trg_id", "src_id", d2.alias("d2"))
         ranked = pairs.withColumn("rank", F.row_number().over(Window.partitionBy("trg_id").orderBy("d2", "src_id"))).where(F.col("rank") <= k)
         final = ring >= reach
         if not final:
@@ -189,6 +203,8 @@ def cross_validate(gauges: DataFrame, raw: DataFrame, nnear_raws: int = 9, stat:
     at = pairs.select(F.col("k").alias("src_id"), "x", "y", (F.col("obs") - F.col("rawatobs")).alias("e"))
     near = knn(at.select(F.col("src_id").alias("trg_id"), "x", "y"), at.select("src_id", "x", "y"), nnearest + 1).where("src_id <> trg_id")
     near = near.withColumn("rank", F.row_number().over(Window.partitionBy("trg_id").orderBy("d2", "src_id"))).where(F.col("rank") <= nnearest)
+    if pairs.count() - 1 < mingages:  # each gauge is estimated from the others, which are too few: its raw value stands
+        return gauges.select("k", "obs").join(pairs.select("k", F.col("direct").cast("double").alias("est")), "k", "left")
     est = idw(near, at, ["e"], p).join(pairs.select(F.col("k").alias("trg_id"), "direct"), "trg_id")
     return gauges.select("k", "obs").join(est.select(F.col("trg_id").alias("k"), F.greatest(F.col("direct") + F.col("e"), F.lit(0.0)).alias("est")), "k", "left")
 
@@ -295,12 +311,13 @@ def zone_polygons(zones: DataFrame, polygons: DataFrame, cell: float) -> DataFra
     return area.join(total, "trg").select("trg", "src", (F.col("a") / F.col("total")).alias("w"))
 
 
-def zonal_stats(edges: DataFrame, values: DataFrame) -> DataFrame:
-    """Weighted mean and population variance of each zone: trg, mean, var. ``values`` has src, value."""
+def zonal_stats(edges: DataFrame, values: DataFrame, zones: DataFrame | None = None) -> DataFrame:
+    """Weighted mean and population variance of each zone: trg, mean, var. ``values`` has src, value; with ``zones`` (trg) those without sources are there too, with nulls."""
     j = edges.join(values, "src")
     w, v = F.col("w"), F.col("value")
     m = j.groupBy("trg").agg(F.try_divide(F.sum(w * v), F.sum(w)).alias("mean"))
-    return j.join(m, "trg").groupBy("trg").agg(F.first("mean").alias("mean"), F.try_divide(F.sum(w * F.pow(v - F.col("mean"), F.lit(2.0))), F.sum(w)).alias("var"))
+    out = j.join(m, "trg").groupBy("trg").agg(F.first("mean").alias("mean"), F.try_divide(F.sum(w * F.pow(v - F.col("mean"), F.lit(2.0))), F.sum(w)).alias("var"))
+    return out if zones is None else zones.select("trg").distinct().join(out, "trg", "left")
 
 
 # verification

@@ -106,7 +106,7 @@ gatewise("phidp_from_kdp", dualpol, "dp", "dp", {"phidp": (lambda: R.phidp_from_
 gatewise("despeckle", gap_sweep, "gap", "sw", {"v3": (lambda: R.despeckle(F.col("dbz"), [], 3), f"CASE WHEN count(dbz) {W} ROWS BETWEEN 1 PRECEDING AND 1 FOLLOWING) <> 1 THEN dbz END"), "v5": (lambda: R.despeckle(F.col("dbz"), [], 5), f"CASE WHEN count(dbz) {W} ROWS BETWEEN 2 PRECEDING AND 2 FOLLOWING) <> 1 THEN dbz END")})
 gatewise("gradient", gap_sweep, "gap", "sw", {"g": (lambda: R.gradient(F.col("dbz"), []), f"CASE WHEN row_number() {W}) = 1 THEN lead(dbz) {W})-dbz WHEN lead(1) {W}) IS NULL THEN dbz-lag(dbz) {W}) ELSE (lead(dbz) {W})-lag(dbz) {W}))/2 END")})
 FL = f"sw2 AS (SELECT *, last_value(dbz IGNORE NULLS) {W}) AS v0, last_value(CASE WHEN dbz IS NOT NULL THEN bin END IGNORE NULLS) {W}) AS b0, first_value(dbz IGNORE NULLS) {W} ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS v1, first_value(CASE WHEN dbz IS NOT NULL THEN bin END IGNORE NULLS) {W} ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS b1 FROM sw)"
-register("fill_sweep", lambda s, d: gap_sweep(s, d).select("ray", "bin", r6(R.fill_linear(F.col("dbz"), []), "v")), f"WITH {SQL['gap']}, {FL} SELECT ray, bin, round(coalesce(dbz, v0+(v1-v0)*((bin-b0)/nullif(b1-b0, 0)), v0, v1), 6) AS v FROM sw2")
+register("fill_sweep", lambda s, d: gap_sweep(s, d).select("ray", "bin", r6(R.fill_linear(F.col("dbz"), []), "v")), f"WITH {SQL['gap']}, {FL} SELECT ray, bin, round(coalesce(dbz, v0+(v1-v0)*((bin-b0)/nullif(b1-b0, 0)), 0), 6) AS v FROM sw2")
 DL = ", ".join(["l AS (SELECT ray, max(bin) AS last FROM sw GROUP BY ray)", "o AS (SELECT unnest([-3,-2,-1,1,2,3]) AS k)", "m AS (SELECT sw.ray, sw.bin, k, CASE WHEN sw.bin+k < 0 THEN -(sw.bin+k) WHEN sw.bin+k > last THEN 2*last-sw.bin-k ELSE sw.bin+k END AS at FROM sw JOIN l USING (ray), o)", "j AS (SELECT m.ray, m.bin, sum(k*dbz)*3.0/(3*4*7) AS s, count(dbz) AS n FROM m LEFT JOIN sw ON sw.ray = m.ray AND sw.bin = m.at GROUP BY 1, 2)"])
 register("derivate_lanczos", lambda s, d: gap_sweep(s, d).select("ray", "bin", r6(R.derivate_lanczos(F.col("dbz"), []), "slope"), r6(R.derivate_lanczos(F.col("dbz"), []) / 2 / 0.25, "kdp")), f"WITH {SQL['gap']}, {DL} SELECT ray, bin, CASE WHEN n = 6 AND dbz IS NOT NULL THEN round(s, 6) END AS slope, CASE WHEN n = 6 AND dbz IS NOT NULL THEN round(s/2/0.25, 6) END AS kdp FROM sw JOIN j USING (ray, bin)")
 UF = f"a AS (SELECT *, coalesce(min(CASE WHEN zdr*20 < 0-15 THEN bin END) OVER (PARTITION BY ray), max(bin) OVER (PARTITION BY ray)) AS b, max(phi) OVER (PARTITION BY ray) AS top FROM dp), u AS (SELECT *, CASE WHEN bin > b THEN phi+360 ELSE phi END AS p FROM a)"

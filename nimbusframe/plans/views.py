@@ -31,7 +31,7 @@ def dualpol(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def gauges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    c = table(spark, sf_dir, "customer").where("c_custkey % 15 = 0")
+    c = table(spark, sf_dir, "customer")
     return c.select(F.col("c_custkey").alias("k"), (F.col("c_custkey") % 40).alias("x"), F.expr("c_custkey div 40").alias("y"), (F.abs("c_acctbal") / 100).alias("obs"))
 
 
@@ -46,7 +46,7 @@ SQL = {
     "att": "sw AS (SELECT o_orderkey % 360 AS ray, o_orderkey // 360 AS bin, o_totalprice % 40 AS dbz FROM orders)",
     "gap": "sw AS (SELECT o_orderkey % 360 AS ray, o_orderkey // 360 AS bin, CASE WHEN o_orderstatus <> 'P' THEN o_totalprice % 60 END AS dbz FROM orders)",
     "dp": "dp AS (SELECT o_orderkey % 360 AS ray, o_orderkey // 360 AS bin, o_totalprice % 60 AS dbz, (o_custkey % 50) / 10 - 1 AS zdr, 0.7::DOUBLE + (o_orderkey % 30) / 100 AS rho, o_totalprice % 360 - 180 AS phi FROM orders)",
-    "g": "g AS (SELECT c_custkey AS k, c_custkey % 40 AS x, c_custkey // 40 AS y, abs(c_acctbal) / 100 AS obs FROM customer WHERE c_custkey % 15 = 0)",
+    "g": "g AS (SELECT c_custkey AS k, c_custkey % 40 AS x, c_custkey // 40 AS y, abs(c_acctbal) / 100 AS obs FROM customer)",
     "r": "r AS (SELECT p_partkey AS pt, p_partkey % 50 AS x, p_partkey // 50 AS y, p_size::DOUBLE AS raw FROM part)",
 }
 #: Raw value at the gauges and the pairs that are valid.

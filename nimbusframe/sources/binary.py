@@ -91,7 +91,7 @@ def decode_composite(content: bytes) -> tuple[dict, dict[str, np.ndarray]]:
             raise OSError(f"{head['product']}: {len(body)} bytes where {2 * cells} are needed")
         raw = np.frombuffer(body, "<u2", cells)
         nodata, clutter, secondary = ((raw & bit) != 0 for bit in (NODATA, CLUTTER, SECONDARY))
-        value = (raw & VALUE).astype(float) * np.where(raw & NEGATIVE, -1.0, 1.0) * head.get("precision", 1.0)
+        value = (raw & VALUE).astype(float) * (np.where(raw & NEGATIVE, -1.0, 1.0) if head["product"] == "RD" else 1.0) * head.get("precision", 1.0)
     return head, {"value": np.where(nodata, np.nan, value), "nodata": nodata, "clutter": clutter, "secondary": secondary}
 
 
