@@ -7,7 +7,10 @@ or the result is undefined (logarithm of zero or less, division by zero).
 from __future__ import annotations
 
 import math
+import re
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -183,4 +186,44 @@ def covariance(kind: str, h, sill: float = 1.0, rng: float = 1.0, **shape: float
             return sill - F.pow(v, F.lit(rng))
         case "cau":
             return sill * F.pow(1.0 + F.pow(v / rng, F.lit(shape.get("alpha", 1.0))), F.lit(-shape.get("beta", 1.0) / shape.get("alpha", 1.0)))
+        case "mat":
+            return matern(v, sill, rng, shape.get("nu", 0.5))
     raise ValueError(f"unknown covariance model {kind!r}")
+
+
+def matern(h, sill: float = 1.0, rng: float = 1.0, nu: float = 0.5) -> Column:
+    """Matern covariance; beyond a shape of 100 it is taken for Gaussian. The Bessel function comes from its integral over cosh."""
+    if nu > 100:
+        return covariance("gau", h, sill, rng)
+
+    @F.pandas_udf("double")
+    def value(h):
+        t = np.linspace(0.0, 12.0, 3001)
+        x = np.abs(h.to_numpy(dtype=float)) / rng * 2.0 * math.sqrt(nu)
+        out = np.full(len(x), np.nan)
+        for k in range(0, len(x), 512):
+            z = x[k : k + 512, None]
+            with np.errstate(over="ignore", invalid="ignore"):
+                y = np.exp(-z * np.cosh(t)) * np.cosh(nu * t)
+            weights = np.full(len(t), t[1])
+            weights[[0, -1]] /= 2
+            out[k : k + 512] = sill / (math.gamma(nu) * 2.0 ** (nu - 1.0)) * z[:, 0] ** nu * (y @ weights)
+        return pd.Series(np.where(x == 0, sill, out))
+
+    return F.nanvl(value(c(h).cast("double")), F.lit(None))
+
+
+def covariogram(model: str, h) -> Column:
+    """Covariance at the distance h by a model written as a sum, as in "0.5 Nug(0) + 2 Exp(20) + 1 Mat(10)^0.5 + 1 Cau(5)^1.5^2"."""
+    names = {"Nug": "nug", "Lin": "lin", "Sph": "sph", "Exp": "exp", "Gau": "gau", "Pow": "pow", "Mat": "mat", "Cau": "cau"}
+    parts = []
+    for term in model.split("+"):
+        m = re.fullmatch(r"\s*([\d.]+)\s+([A-Z][a-z]{2})\(([\d.]+)\)((?:\^[\d.]+)*)\s*", term)
+        if not m or m[2] not in names:
+            raise ValueError(f"can't read {term!r} as a covariance model")
+        shape = [float(x) for x in m[4].split("^")[1:]]
+        extra = {"Mat": ("nu",), "Cau": ("alpha", "beta")}.get(m[2], ())
+        if len(shape) != len(extra):
+            raise ValueError(f"{m[2]} takes {len(extra)} shape parameters")
+        parts.append(covariance(names[m[2]], h, float(m[1]), float(m[3]), **dict(zip(extra, shape, strict=True))))
+    return sum(parts[1:], parts[0])

@@ -9,6 +9,34 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from nimbusframe.functions.moments import trapezoid, weighted_membership
+from nimbusframe.operators.rays import texture
+
+#: Weights and trapezoids of weather echo by decision variable; of zdr, rho and phi the textures count, rho2 is rho itself.
+ECHO_WEIGHTS = {"zdr": 0.4, "rho": 0.4, "phi": 0.1, "dop": 0.1, "map": 0.5, "rho2": 0.4, "dr": 0.4, "cpa": 0.4}
+ECHO_TRAPEZOIDS = {
+    "zdr": (0.7, 1.0, 9999, 9999), "rho": (0.1, 0.15, 9999, 9999), "phi": (15, 20, 10000, 10000), "dop": (-0.2, -0.1, 0.1, 0.2),
+    "map": (1, 1, 9999, 9999), "rho2": (-9999, -9999, 0.95, 0.98), "dr": (-20, -12, 9999, 9999), "cpa": (0.6, 0.9, 9999, 9999),
+}
+
+
+def weather_probability(gates: DataFrame, keys: list[str], weights: dict[str, float] | None = None, trapezoids: dict[str, tuple] | None = None, n_rays: int = 360) -> DataFrame:
+    """Adds p, the probability of weather echo by fuzzy logic, and missing, whether no polarimetric moment is there.
+
+    ``gates`` has ray, bin and any of zdr, rho, phi, dop, map, dr, cpa; variables that are null don't count, and p is null where none does."""
+    weights, trapezoids = ECHO_WEIGHTS | (weights or {}), ECHO_TRAPEZOIDS | (trapezoids or {})
+    out = gates
+    for name in ("zdr", "rho", "phi"):
+        if name in gates.columns:
+            out = texture(out, name, keys, n_rays).withColumnRenamed("texture", f"__{name}")
+    value = {n: F.col(f"__{n}") if n in ("zdr", "rho", "phi") else F.col("rho" if n == "rho2" else n) for n in weights if n in gates.columns or (n == "rho2" and "rho" in gates.columns)}
+    parts = [(1.0 - trapezoid(v, *map(float, trapezoids[n])), weights[n]) for n, v in value.items()]
+    moments = [F.col(n).isNull() for n in ("rho", "zdr", "phi", "dr", "cpa") if n in gates.columns]
+    missing = F.lit(True)
+    for m in moments:
+        missing = missing & m
+    return out.withColumn("p", weighted_membership(parts)).withColumn("missing", missing).select(*gates.columns, "p", "missing")
+
 
 def membership(v: Column, p: list[Column]) -> Column:
     """1 from p[1] to p[2], falling to 0 at p[0] and p[3]; a missing value has none."""

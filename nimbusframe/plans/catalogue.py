@@ -89,9 +89,7 @@ gatewise("beam_block", sweep, "sw", "sw", {"pbb": (lambda: PB(), PBB)})
 gatewise("cum_beam_block", sweep, "sw", "sw", {"cbb": (lambda: F.max(PB()).over(R.along([]).rowsBetween(Window.unboundedPreceding, 0)), f"max({PBB}) OVER (PARTITION BY ray ORDER BY bin)")})
 gatewise("trapezoid", sweep, "sw", "sw", {"m": (lambda: M.trapezoid("dbz", 5, 15, 30, 50), "CASE WHEN dbz BETWEEN 15 AND 30 THEN 1 WHEN dbz > 5 AND dbz < 15 THEN (dbz-5)/10 WHEN dbz > 30 AND dbz < 50 THEN (50-dbz)/20 ELSE 0 END")})
 register("cloudtype", lambda s, d: sweep(s, d).select("ray", "bin", (M.no_rain_cloud(F.col("bin") % 20, low=True) & (F.col("dbz") > 0)).alias("clutter")), f"WITH {SQL['sw']} SELECT ray, bin, (bin % 20 IN (1,2,5,6,7) AND dbz > 0) AS clutter FROM sw")
-FZ = lambda: M.weighted_membership([(1 - M.trapezoid("zdr", -1, 0, 1, 3), 0.4), (1 - M.trapezoid("rho", 0.7, 0.8, 0.95, 1.0), 0.4), (1 - M.trapezoid("phi", -180, -90, 90, 180), 0.1)])
 TR = lambda v, a, b, c, d: f"(1-CASE WHEN {v} BETWEEN {b} AND {c} THEN 1 WHEN {v} > {a} AND {v} < {b} THEN ({v}-({a}))/({b}-({a})) WHEN {v} > {c} AND {v} < {d} THEN ({d}-{v})/({d}-({c})) ELSE 0 END)"
-gatewise("fuzzy_echo", dualpol, "dp", "dp", {"p": (lambda: FZ(), f"(0.4*{TR('zdr', '-1', '0', '1', '3')}+0.4*{TR('rho', '0.7', '0.8', '0.95', '1.0')}+0.1*{TR('phi', '-180', '-90', '90', '180')})/0.9")})
 gatewise("covariograms", sweep, "sw", "sw", {
     "nug": (lambda: M.covariance("nug", "dbz", 2, 5), "CASE WHEN dbz <= 5 THEN 2 ELSE 0 END"), "expo": (lambda: M.covariance("exp", "dbz", 2, 20), "2*exp(-dbz/20)"),
     "sph": (lambda: M.covariance("sph", "dbz", 2, 20), "CASE WHEN dbz < 20 THEN 2*(1-1.5*dbz/20+pow(dbz/20, 3)/2) ELSE 0 END"), "gau": (lambda: M.covariance("gau", "dbz", 2, 20), "2*exp(-pow(dbz/20, 2))"),

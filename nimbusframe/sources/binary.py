@@ -26,6 +26,8 @@ TILT_KEYS = ("BY", "VS", "CO", "CD", "CS", "EP", "MS")
 BYTE_PRODUCTS = ("RX", "EX", "WX")
 SECONDARY, NODATA, NEGATIVE, CLUTTER, VALUE = 0x1000, 0x2000, 0x4000, 0x8000, 0x0FFF
 END_OF_HEADER = b"\x03"
+#: Products of run-length lines, and what stands for no data in them.
+RUN_PRODUCTS, RUN_NODATA = ("PG", "PC"), 255
 
 
 def opened(content: bytes) -> bytes:
@@ -82,7 +84,12 @@ def decode_composite(content: bytes) -> tuple[dict, dict[str, np.ndarray]]:
     end = data.index(END_OF_HEADER)
     head = parse_composite_header(data[:end].decode("ascii", "replace"))
     cells, body = head["rows"] * head["cols"], data[end + 1 :]
-    if head["product"] in BYTE_PRODUCTS:
+    if head["product"] in RUN_PRODUCTS:
+        levels = unpack_lines(body, head["cols"], head["rows"])[::-1].ravel()
+        nodata = levels == RUN_NODATA
+        named = np.array([*head.get("levels", []), *[np.nan] * 256], dtype=float)[:256] if head.get("levels") else np.arange(256.0)
+        value, clutter, secondary = named[levels], np.zeros(cells, dtype=bool), np.zeros(cells, dtype=bool)
+    elif head["product"] in BYTE_PRODUCTS:
         raw = np.frombuffer(body, np.uint8, cells)
         nodata, clutter = raw == 250, raw == 249
         value, secondary = raw / 2.0 - 32.5, np.zeros(cells, dtype=bool)
@@ -95,6 +102,26 @@ def decode_composite(content: bytes) -> tuple[dict, dict[str, np.ndarray]]:
     return head, {"value": np.where(nodata, np.nan, value), "nodata": nodata, "clutter": clutter, "secondary": secondary}
 
 
+def unpack_line(line: bytes, cols: int) -> np.ndarray:
+    """One line of levels. After the line's number come the cells without data, less 16 in each byte of which only the last is below 255,
+    then bytes of a run's length (high half) and level (low half)."""
+    out = np.full(cols, RUN_NODATA, dtype=np.uint8)
+    codes = np.frombuffer(line, dtype=np.uint8)[1:].astype(np.int64)
+    if len(codes):
+        last = int(np.argmax(codes < 255))
+        skip = int((codes[: last + 1] - 16).sum())
+        runs = codes[last + 1 :]
+        cells = np.repeat(runs & 15, runs >> 4)[: max(cols - skip, 0)]
+        out[skip : skip + len(cells)] = cells
+    return out
+
+
+def unpack_lines(body: bytes, cols: int, rows: int) -> np.ndarray:
+    """The lines of a run-length product, the southernmost last; lines that are not there have no data."""
+    lines = [unpack_line(x, cols) for x in body.split(b"\n")[:rows] if x]
+    return np.stack(lines + [np.full(cols, RUN_NODATA, dtype=np.uint8)] * (rows - len(lines)))
+
+
 def unpack_beam(words: np.ndarray) -> np.ndarray:
     """A beam with its runs of zeros spelled out: words with bit 12 set stand for so many zeros."""
     run = (words & 0x1000) != 0
