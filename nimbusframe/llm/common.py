@@ -46,9 +46,8 @@ def work_dir(spark: SparkSession) -> None:
 def saved(df: DataFrame) -> DataFrame:
     """The rows written to the shared checkpoint folder, with their lineage cut."""
     work_dir(df.sparkSession)
-    out = df.checkpoint(eager=True)
-    release(df.sparkSession)
-    return out
+    release(df.sparkSession)  # what earlier steps left; this one's own shuffles are referred to until the caller has the result
+    return df.checkpoint(eager=True)
 
 
 def release(spark: SparkSession) -> None:

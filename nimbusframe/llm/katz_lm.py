@@ -36,7 +36,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from xxhash import xxh64_intdigest
 
-from nimbusframe.llm.common import TokenTable, from_planes, is_fold, map_arrow, merged, planes, runs, saved, table
+from nimbusframe.llm.common import TokenTable, from_planes, is_fold, map_arrow, merged, planes, release, runs, saved, table
 
 #: Parameters: words of one in so many tokens are numbered; pairs of words of one in HOT tokens are dealt by row;
 #: discounts up to count CUT; entries in a block of documents; training tokens to a bucket of pairs; held-out fold.
@@ -391,6 +391,7 @@ def score_documents(docs: DataFrame) -> DataFrame:
     low = fit_lower(counts)
     n_buckets = max(8, low.n // BUCKET)
     made = blocks(docs, low, n_buckets)
+    release(spark)
     pairs = made.where("kind = 1 or kind = 3").select("bucket", "first", "blob", "kind")
 
     # Hot pairs' training counts: at most HOT * HOT numbers.
