@@ -7,7 +7,7 @@ tried, down to single letters. A document's languages are compared by the sum ov
 
 The model is learned from a bounded sample of the documents outside the held-out fold
 (about ``SAMPLE`` rows of each language by a hash of id and text, all where there are fewer; texts over ``MAX_CHARS``
-characters are predicted whole but not learned from) and keeps every word and n-gram of it, so its size has a bound whatever the corpus.
+characters are predicted whole but not learned from) and keeps every word and n-gram of it, by 64-bit hashes, so its size has a bound whatever the corpus.
 
 Defined cases: a null text, or one without any letter, is ``und`` with score 0. Letters but no
 evidence: the language of the most training rows, at the uniform score. Ties go to the
@@ -21,9 +21,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from xxhash import xxh64_intdigest
 
 from nimbusframe.llm.common import TokenTable, is_fold, map_arrow, merged, segment, table
 from nimbusframe.llm.subwords import tokens_of
@@ -42,43 +44,64 @@ def grams(word: str, n: int) -> list[str]:
     return [w[i : i + n] for i in range(len(w) - n + 1)]
 
 
-class Model:
-    """Log frequencies by language; columns in the order of ``langs``. Table 0 has the words, table n the n-grams."""
+def key(gram: str, n: int) -> int:
+    """64-bit hash of a word (n = 0) or n-gram as a signed long; entries are told apart by it."""
+    h = xxh64_intdigest(gram, n)
+    return h - (1 << 64) if h >> 63 else h
 
-    def __init__(self, langs: list[str], tables: list[dict[str, np.ndarray]], prior: np.ndarray) -> None:
-        self.langs, self.prior = langs, prior
-        self.at = [dict(zip(t, range(len(t)), strict=True)) for t in tables]
-        self.logs = [np.array(list(t.values()), dtype=np.float64).reshape(len(t), len(langs)) for t in tables]
 
-    def word(self, w: str) -> np.ndarray:
-        k = self.at[0].get(w)
-        if k is not None:
-            return self.logs[0][k]
+class Model:
+    """Log frequencies by language; columns in the order of ``langs``. Table 0 has the words, table n the n-grams, as sorted hashes beside rows."""
+
+    def __init__(self, langs: list[str], tables: list[tuple[np.ndarray, np.ndarray]], prior: np.ndarray) -> None:
+        self.langs, self.prior, self.tables = langs, prior, tables
+
+    def rows(self, n: int, hashes: list[int]) -> tuple[np.ndarray, np.ndarray]:
+        """The row of each hash in table n, and whether it has one."""
+        known, _ = self.tables[n]
+        h = np.array(hashes, dtype=np.int64)
+        at = np.minimum(np.searchsorted(known, h), max(len(known) - 1, 0))
+        return at, known[at] == h if len(known) else np.zeros(len(h), dtype=bool)
+
+    def word_rows(self, words: list[str]) -> np.ndarray:
+        out = np.zeros((len(words), len(self.langs)))
+        at, ok = self.rows(0, [key(w, 0) for w in words])
+        out[ok] = self.tables[0][1][at[ok]]
+        left = np.flatnonzero(~ok)
         for n in range(LONGEST, 0, -1):
-            get = self.at[n].get
-            found = [k for g in grams(w, n) if (k := get(g)) is not None]
-            if found:
-                return self.logs[n][found].mean(axis=0)
-        return np.zeros(len(self.langs))
+            lists = [[key(g, n) for g in grams(words[i], n)] for i in left]
+            at, ok = self.rows(n, [h for own in lists for h in own])
+            word = np.repeat(np.arange(len(left)), [len(own) for own in lists])[ok]
+            found = np.bincount(word, minlength=len(left))
+            some = found > 0
+            if some.any():
+                out[left[some]] = segment(np.add, self.tables[n][1][at[ok]], found)[some] / found[some, None]
+            left = left[~some]
+        return out
 
     def token_rows(self, tokens: list[bytes]) -> np.ndarray:
         """Per token: the sum over its words, their number, and whether it has a letter."""
         out = np.zeros((len(tokens), len(self.langs) + 2))
-        for k, t in enumerate(tokens):
-            s = t.decode("utf-8", "replace")
-            for w in letter_words(s):
-                out[k, : len(self.langs)] += self.word(w)
-                out[k, -2] += 1
-            out[k, -1] = any(map(str.isalpha, s))
+        for start in range(0, len(tokens), 20_000):  # bounds the lists of n-grams
+            strings = [t.decode("utf-8", "replace") for t in tokens[start : start + 20_000]]
+            words = [letter_words(s) for s in strings]
+            part, counts = out[start : start + len(strings)], np.array([len(w) for w in words])
+            part[:, : len(self.langs)] = segment(np.add, self.word_rows([w for own in words for w in own]), counts)
+            part[:, -2] = counts
+            part[:, -1] = [any(map(str.isalpha, s)) for s in strings]
         return out
 
 
+#: The model of an empty sample.
+NOTHING = Model([], [(np.zeros(0, dtype=np.int64), np.zeros((0, 0)))] * (LONGEST + 1), np.zeros(0))
+
+
 def fit(docs: DataFrame, sample: int = SAMPLE) -> Model:
     """Learn from ``docs`` (text, lang and id) outside fold 2 of 4."""
     fold_in = docs.where(F.col("lang").isNotNull() & (F.length("text") <= MAX_CHARS) & ~is_fold(F.col("doc_id"), 4, 2))
     counts = {r["lang"]: r["n"] for r in fold_in.groupBy("lang").agg(F.count("*").alias("n")).collect()}
     if not counts:
-        return Model([], [{} for _ in range(LONGEST + 1)], np.zeros(0))
+        return NOTHING
     bounds = docs.sparkSession.createDataFrame([(lang, int((1 << 30) * min(1.0, sample / n)) + 1) for lang, n in counts.items()], "lang string, bound long")
     placed = fold_in.withColumn("place", F.pmod(F.xxhash64("doc_id", "text", F.lit("language-sample")), F.lit(1 << 30))).select("lang", "text", "place")
     picked = placed.join(F.broadcast(bounds), "lang").where("place < bound").select("lang", "text")
@@ -93,24 +116,25 @@ def fit(docs: DataFrame, sample: int = SAMPLE) -> Model:
                 for n in range(1, LONGEST + 1):
                     for g in grams(w, n):
                         seen[lang, n, g] = seen.get((lang, n, g), 0) + c
-            keys = list(seen)
-            yield pa.RecordBatch.from_pydict({"lang": [k[0] for k in keys], "n": pa.array([k[1] for k in keys], pa.int32()), "gram": [k[2] for k in keys], "c": pa.array(list(seen.values()), pa.int64())})
-
-    counted = map_arrow(picked, count, "lang string, n int, gram string, c long").groupBy("lang", "n", "gram").agg(F.sum("c").alias("c"))
-    rows = counted.select("lang", "n", "gram", "c").toArrow().to_pydict()  # what the sample holds
-    langs = sorted(set(rows["lang"]))
+            yield pa.RecordBatch.from_pydict({
+                "lang": pa.array([k[0] for k in seen], pa.string()), "n": pa.array([k[1] for k in seen], pa.int32()),
+                "h": pa.array([key(k[2], k[1]) for k in seen], pa.int64()), "c": pa.array(list(seen.values()), pa.int64()),
+            })
+
+    counted = map_arrow(picked, count, "lang string, n int, h long, c long").groupBy("lang", "n", "h").agg(F.sum("c").alias("c"))
+    rows = counted.select("lang", "n", "h", "c").toArrow()  # what the sample holds
+    langs = sorted(rows["lang"].unique().to_pylist())
     if not langs:
-        return Model([], [{} for _ in range(LONGEST + 1)], np.zeros(0))
-    at = {k: i for i, k in enumerate(langs)}
-    tables: list[dict[str, np.ndarray]] = [{} for _ in range(LONGEST + 1)]
-    totals = np.zeros((LONGEST + 1, len(langs)))
-    for lang, n, g, c in sorted(zip(*rows.values(), strict=True)):
-        tables[n].setdefault(g, np.zeros(len(langs)))[at[lang]] = c
-        totals[n, at[lang]] += c
-    for n, t in enumerate(tables):
-        size = totals[n] + SMOOTH * (len(t) + 1)
-        for g in t:
-            t[g] = np.log((t[g] + SMOOTH) / size)
+        return NOTHING
+    lang = pc.index_in(rows["lang"], pa.array(langs)).to_numpy()
+    n, h, c = (rows[k].to_numpy() for k in ("n", "h", "c"))
+    tables = []
+    for k in range(LONGEST + 1):
+        own = n == k
+        known, at = np.unique(h[own], return_inverse=True)
+        seen = np.zeros((len(known), len(langs)))
+        seen[at, lang[own]] = c[own]
+        tables.append((known, np.log((seen + SMOOTH) / (seen.sum(0) + SMOOTH * (len(known) + 1)))))
     return Model(langs, tables, np.array([counts[k] for k in langs], dtype=np.float64))
 
 
