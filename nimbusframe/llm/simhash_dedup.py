@@ -275,8 +275,9 @@ def one_of_each(docs: DataFrame, exact: bool = False) -> DataFrame:
         from nimbusframe.llm import near_pairs
 
         common = near_pairs.common_shingles(texts)
-        fps = saved(near_pairs.prefixes(texts, common))
-        labels = labelled(fps.select("doc_id", "fp", "th"), near_pairs.roots(texts, fps, common[0]))
+        wide = saved(near_pairs.prefixes(texts, common))
+        fps = saved(wide.select("doc_id", "fp", "th"))
+        labels = labelled(fps, near_pairs.roots(texts, wide, fps, common[0]))
     else:
         fps = saved(fingerprints(texts))
         labels = labelled(fps)
