@@ -30,8 +30,9 @@ from xxhash import xxh64_intdigest
 from nimbusframe.llm.common import TokenTable, is_fold, map_arrow, merged, segment, table
 from nimbusframe.llm.subwords import tokens_of
 
-#: Parameters.
+#: Parameters; TOKENS numbered at a time and CHARS judged at a time bound the memory of a worker.
 SAMPLE, MAX_CHARS, LONGEST, SMOOTH, LEAST_SCORE = 3000, 100_000, 4, 0.5, 0.3
+TOKENS, CHARS = 100_000, 1_000_000
 LETTERS = regex.compile(r"\p{L}+(?:['’]\p{L}+)*").findall
 
 
@@ -158,8 +159,8 @@ def predict(docs: DataFrame, model: Model) -> DataFrame:
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = TokenTable(shared.value.token_rows)
-        for ids, texts in merged(batches):
+        known = TokenTable(shared.value.token_rows, TOKENS)
+        for ids, texts in merged(batches, CHARS):
             lang, score = judge(shared.value, known, texts)
             yield pa.RecordBatch.from_pydict({"doc_id": pa.array(ids, pa.int64()), "lang_pred": pa.array(lang, pa.string()), "score": pa.array(score, pa.float64())})
 
@@ -172,7 +173,7 @@ def in_known_language(docs: DataFrame, model: Model, least: float = LEAST_SCORE)
     schema = docs.schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = TokenTable(shared.value.token_rows)
+        known = TokenTable(shared.value.token_rows, TOKENS)
         for batch in batches:
             texts = batch.column(schema.fieldNames().index("text")).to_pylist()
             lang, score = judge(shared.value, known, texts)
