@@ -62,7 +62,7 @@ def byte_letters() -> dict[str, int]:
 class Codec:
     """Encoder and decoder for a byte-level BPE file of the tokenizers library."""
 
-    def __init__(self, path: str, most: int = 250_000) -> None:
+    def __init__(self, path: str, most: int = 100_000) -> None:
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         letters = byte_letters()
@@ -281,7 +281,7 @@ def encode_documents(docs: DataFrame, path: str | None = None, keep_ids: bool =
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = codec(path or default_path())
-        for doc_ids, texts in merged(batches):
+        for doc_ids, texts in merged(batches, 1_000_000):
             ids = c.encode_many(texts)
             out = {
                 "doc_id": pa.array(doc_ids, pa.int64()),
