@@ -277,7 +277,7 @@ def one_of_each(docs: DataFrame, exact: bool = False) -> DataFrame:
         common = near_pairs.common_shingles(texts)
         wide = saved(near_pairs.prefixes(texts, common))
         fps = saved(wide.select("doc_id", "fp", "th"))
-        labels = labelled(fps, near_pairs.roots(texts, wide, fps, common[0]))
+        labels = labelled(fps, near_pairs.roots(texts, wide, fps, common[0][common[1] >= near_pairs.MANY]))
     else:
         fps = saved(fingerprints(texts))
         labels = labelled(fps)
