@@ -109,22 +109,27 @@ def merged(batches: Iterable[pa.RecordBatch], chars: int = 4_000_000) -> Iterato
         yield ids, texts
 
 
-def sampled_labels(spark: SparkSession, sf_dir: str, label: str, rows: int, modulus: int = 4, rest: int = 2, max_chars: int = 100_000, beside: str | None = None) -> tuple:
-    """Texts and labels of a bounded training sample, and the column ``beside`` if one is named.
-
-    Rows of ``labels`` outside the held-out fold are taken in the order of a hash of
-    their id until about ``rows`` are reached for each label value; texts over
-    ``max_chars`` are not used for training (they are still scored whole). The driver
-    holds at most ``2 * rows`` texts.
-    """
-    lab = (
+def usable_labels(spark: SparkSession, sf_dir: str, label: str, modulus: int = 4, rest: int = 2) -> DataFrame:
+    """doc_id and y (0 or 1) of all rows of ``labels`` outside the held-out fold; of repeated ids the largest label counts."""
+    return (
         table(spark, sf_dir, "labels")
         .select("doc_id", F.col(label).alias("y"))
         .where(F.col("doc_id").isNotNull() & F.col("y").isin(0, 1) & ~is_fold(F.col("doc_id"), modulus, rest))
         .groupBy("doc_id")
         .agg(F.max("y").cast("int").alias("y"))
-        .withColumn("h", F.pmod(F.xxhash64("doc_id", F.lit("label-sample")), F.lit(1 << 30)))
     )
+
+
+def sampled_labels(spark: SparkSession, sf_dir: str, label: str, rows: int, modulus: int = 4, rest: int = 2, max_chars: int = 100_000, beside: str | None = None, among: DataFrame | None = None) -> tuple:
+    """Texts and labels of a bounded training sample, and the column ``beside`` if one is named.
+
+    Rows of ``labels`` outside the held-out fold, or the rows ``among`` (doc_id, y), are taken in the order of a hash of
+    their id until about ``rows`` are reached for each label value; texts over
+    ``max_chars`` are not used for training (they are still scored whole). The driver
+    holds at most ``2 * rows`` texts.
+    """
+    lab = usable_labels(spark, sf_dir, label, modulus, rest) if among is None else among.select("doc_id", "y")
+    lab = lab.withColumn("h", F.pmod(F.xxhash64("doc_id", F.lit("label-sample")), F.lit(1 << 30)))
     counts = {r["y"]: r["n"] for r in lab.groupBy("y").agg(F.count("*").alias("n")).collect()}
     keep = F.lit(False)
     for y, n in counts.items():
