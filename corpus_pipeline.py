@@ -18,7 +18,7 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps one document of each group of near-duplicates: five-word shingles, similarity of 0.8 or more."""
+    """Keeps one document of each group of near-duplicates: candidates by SimHash and BK-trees, then exactly, five-word shingles, similarity of 0.8 or more."""
     return simhash_dedup.one_of_each(docs, exact=True)
 
 

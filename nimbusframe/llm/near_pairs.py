@@ -1,6 +1,8 @@
 """Near-duplicates by exact similarity of shingle sets: texts whose sets of five-word shingles have a Jaccard index of 0.8 or more are linked.
 
-Candidates come from a prefix filter. All shingles have one order, the same in every text; two
+Candidates come first from SimHash: the fingerprints of the shingle sets go through the sharded BK-trees of
+operator 1, with a wider radius, and the pairs they propose are verified on the whole sets and link. No radius can promise
+to propose every pair of that similarity, so an exact check follows for texts that are still apart: a prefix filter. All shingles have one order, the same in every text; two
 sets of similarity t or more have a shingle in common among the first n - ceil(t * n) + 1 of each. So
 no linked pair is missed whatever the order. The order puts shingles that several sets of the whole corpus have last, which
 keeps passages that texts quote out of the prefixes; only the speed depends on it. Candidates
@@ -30,11 +32,13 @@ from pyspark.sql import functions as F
 from xxhash import xxh64_intdigest
 
 from nimbusframe.llm.common import forget, from_planes, map_arrow, merged, planes, runs, saved
-from nimbusframe.llm.simhash_dedup import components, shingle_hashes, text_hashes
+from nimbusframe.llm.simhash_dedup import components, shard_links, shingle_hashes, text_hashes
 
 #: Parameters: words in a shingle; least similarity as a fraction; largest group of which all pairs are candidates;
 #: pivots of the first round and their growth; shingles that the order puts last, how many sets they have at least, and from how many on they are not gathered.
 SHINGLE, LEAST, SMALL, PIVOTS, GROW, COMMON, FEW, MANY = 5, (4, 5), 24, 4, 32, 500_000, 5, 200
+#: Fingerprints of sets differ in at most RADIUS bits to be proposed; blocks of bits, of which those share two.
+RADIUS, WIDTHS = 5, (10, 9, 9, 9, 9, 9, 9)
 #: For the order, shingles are told apart by their first bits, and the sets that have one by so many bits of a hash.
 OWN_BITS, SET_BITS, TALLY = 44, 8, 1_000_000
 #: Entries in a block of documents, in a bucket of shingles and in an Arrow batch; most partitions of buckets; most documents, 16 bytes each, whose keys are broadcast to fetch their sets.
@@ -48,6 +52,14 @@ def shingle_set(text: str | None) -> np.ndarray:
     return np.unique(np.array(shingle_hashes(text, SHINGLE), dtype=np.uint64).view(np.int64))
 
 
+def set_fingerprint(shingles: np.ndarray) -> int:
+    """The SimHash of a set: a bit is 1 if it is set in over half of the shingle hashes."""
+    ones = np.zeros(64, dtype=np.int64)
+    for k in range(0, len(shingles), 1 << 17):
+        ones += np.unpackbits(shingles[k : k + (1 << 17)].astype(">i8").view(np.uint8).reshape(-1, 8), axis=1).sum(0, dtype=np.int64)
+    return int(np.packbits(ones * 2 > len(shingles)).view(">i8")[0])
+
+
 def heads(shingles: np.ndarray) -> np.ndarray:
     """The first bits of shingles, as longs in the shingles' unsigned order."""
     return (shingles.view(np.uint64) >> np.uint64(64 - OWN_BITS)).view(np.int64)
@@ -128,9 +140,9 @@ def common_shingles(docs: DataFrame) -> tuple[np.ndarray, np.ndarray]:
 
 
 def prefixes(docs: DataFrame, common: tuple[np.ndarray, np.ndarray]) -> DataFrame:
-    """doc_id, fp (a hash of the shingle set), th (the text's), n (its size) and its prefix in the common order, of every document.
+    """doc_id, fp (a hash of the shingle set), th (the text's), n (its size), the set's SimHash and its prefix in the common order, of every document.
 
-    A task gives the prefix of a set once; further copies there have null."""
+    A task gives the SimHash and the prefix of a set once; further copies there have null."""
     shared = docs.sparkSession.sparkContext.broadcast(common)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -139,7 +151,7 @@ def prefixes(docs: DataFrame, common: tuple[np.ndarray, np.ndarray]) -> DataFram
         for ids, texts in merged(batches, CHARS):
             if len(seen) > 1_000_000:
                 seen.clear()
-            fp, sizes, first = [], [], []
+            fp, sizes, sims, first = [], [], [], []
             for t in texts:
                 own = shingle_set(t)
                 n, key = len(own), xxh64_intdigest(own.tobytes(), 42)
@@ -147,18 +159,20 @@ def prefixes(docs: DataFrame, common: tuple[np.ndarray, np.ndarray]) -> DataFram
                 sizes.append(n)
                 if key in seen:
                     first.append(None)
+                    sims.append(None)
                     continue
                 seen.add(key)
+                sims.append(set_fingerprint(own))
                 if len(common) and n:
                     at, known = within(heads(own), common)
                     own = own[np.argsort(np.where(known, times[at], 0), kind="stable")]
                 first.append(own[: n - -(-LEAST[0] * n // LEAST[1]) + 1] if n else own)
             yield pa.RecordBatch.from_pydict({
                 "doc_id": pa.array(ids, pa.int64()), "fp": pa.array(np.array(fp, dtype=np.uint64).view(np.int64)), "n": pa.array(sizes, pa.int32()),
-                "th": pa.array(text_hashes(texts)), "prefix": pa.array(first, pa.list_(pa.int64())),
+                "th": pa.array(text_hashes(texts)), "sim": pa.array(sims, pa.int64()), "prefix": pa.array(first, pa.list_(pa.int64())),
             })
 
-    return map_arrow(docs.select("doc_id", "text"), run, "doc_id long, fp long, n int, th long, prefix array<long>")
+    return map_arrow(docs.select("doc_id", "text"), run, "doc_id long, fp long, n int, th long, sim long, prefix array<long>")
 
 
 def packed(fps: DataFrame, common: np.ndarray, buckets: int) -> DataFrame:
@@ -333,6 +347,27 @@ def verified(pairs: DataFrame, docs: DataFrame, fps: DataFrame) -> DataFrame:
     return links
 
 
+def simhash_candidates(fps: DataFrame) -> DataFrame:
+    """Pairs (a, b) of nodes whose SimHashes the BK-trees link, no more than nodes and links of a spanning set; ``fps`` has fp and sim."""
+    nodes = saved(fps.where("sim is not null").select("fp", "sim").distinct())
+    named = nodes.groupBy("sim").agg(F.min("fp").alias("rep"))
+    same = nodes.join(named, "sim").where("fp <> rep").select(F.col("rep").alias("a"), F.col("fp").alias("b"))
+    links = shard_links(named.select(F.col("sim").alias("fp")), RADIUS, WIDTHS).withColumnsRenamed({"a": "x", "b": "y"})
+    for side, end in (("x", "a"), ("y", "b")):
+        links = links.join(named.select(F.col("sim").alias(side), F.col("rep").alias(end)), side)
+    both = same.unionByName(links.select("a", "b"))
+    pairs = saved(both.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
+    forget(nodes)
+    return pairs
+
+
+def apart(pairs: DataFrame, root: DataFrame) -> DataFrame:
+    """The pairs whose nodes are not in one component."""
+    for end in ("a", "b"):
+        pairs = pairs.join(root.select(F.col("fp").alias(end), F.col("root").alias(f"root_{end}")), end, "left")
+    return pairs.where(F.coalesce("root_a", "a") != F.coalesce("root_b", "b")).select("a", "b")
+
+
 def roots(docs: DataFrame, wide: DataFrame, fps: DataFrame, common: np.ndarray) -> DataFrame:
     """fp and root of each node that is linked with another.
 
@@ -341,7 +376,8 @@ def roots(docs: DataFrame, wide: DataFrame, fps: DataFrame, common: np.ndarray)
     entries = saved(shared_entries(wide, common).withColumn("prio", prio * F.col("m")))
     forget(wide)
     pivots = PIVOTS
-    links = verified(saved(first_candidates(entries, pivots)), docs, fps)
+    links = verified(simhash_candidates(fps), docs, fps)
+    links = saved(links.unionByName(verified(saved(apart(first_candidates(entries, pivots), components(links))), docs, fps)))
     root = components(links)
     rest = entries.where(F.col("m") > SMALL)
     while True:

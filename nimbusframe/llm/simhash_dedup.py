@@ -169,11 +169,11 @@ def spanning(values: np.ndarray, other: np.ndarray | None, radius: int) -> tuple
     return every[child], every[parent[child]]
 
 
-def shard_links(nodes: DataFrame, radius: int = RADIUS) -> DataFrame:
-    """Links (a, b) between distinct fingerprints; ``nodes`` has the column fp."""
-    starts = [sum(WIDTHS[:k]) for k in range(len(WIDTHS))]
-    block = [F.shiftrightunsigned("fp", s).bitwiseAND(F.lit((1 << w) - 1)) for s, w in zip(starts, WIDTHS, strict=True)]
-    keys = [F.lit(n << 26).cast("long").bitwiseOR(F.shiftleft(block[i], 13)).bitwiseOR(block[j]) for n, (i, j) in enumerate(combinations(range(len(WIDTHS)), 2))]
+def shard_links(nodes: DataFrame, radius: int = RADIUS, widths: tuple[int, ...] = WIDTHS) -> DataFrame:
+    """Links (a, b) between distinct fingerprints; ``nodes`` has the column fp. There are two more blocks than ``radius`` at least."""
+    starts = [sum(widths[:k]) for k in range(len(widths))]
+    block = [F.shiftrightunsigned("fp", s).bitwiseAND(F.lit((1 << w) - 1)) for s, w in zip(starts, widths, strict=True)]
+    keys = [F.lit(n << 26).cast("long").bitwiseOR(F.shiftleft(block[i], 13)).bitwiseOR(block[j]) for n, (i, j) in enumerate(combinations(range(len(widths)), 2))]
     sharded = nodes.select("fp", F.explode(F.array(*keys)).alias("shard"))
     hot = sharded.groupBy("shard").count().where(F.col("count") > PART).select("shard", F.ceil(F.col("count") / PART).cast("int").alias("parts"))
     hot = saved(hot)  # at most nodes * 10 / PART rows
@@ -262,7 +262,7 @@ def labelled(fps: DataFrame, root: DataFrame | None = None) -> DataFrame:
 def one_of_each(docs: DataFrame, exact: bool = False) -> DataFrame:
     """One document of each component, with all columns: the one with the smallest id.
 
-    Components are those of op1 or, if ``exact``, of the shingle similarity in ``near_pairs``.
+    Components are those of op1 or, if ``exact``, of the shingle similarity in ``near_pairs``, which has candidates from SimHash and BK-trees too.
 
     A row with a null id stands behind all ids and is told apart by its text. Rows with one id and
     different texts count each for itself; rows repeated with id and text are reduced to the one whose columns have
@@ -276,7 +276,7 @@ def one_of_each(docs: DataFrame, exact: bool = False) -> DataFrame:
 
         common = near_pairs.common_shingles(texts)
         wide = saved(near_pairs.prefixes(texts, common))
-        fps = saved(wide.select("doc_id", "fp", "th"))
+        fps = saved(wide.select("doc_id", "fp", "th", "sim"))
         labels = labelled(fps, near_pairs.roots(texts, wide, fps, common[0][common[1] >= near_pairs.MANY]))
     else:
         fps = saved(fingerprints(texts))

@@ -70,3 +70,23 @@ def test_the_order_counts_different_sets_of_all_documents(spark, monkeypatch):
     h, c = near_pairs.common_shingles(docs)
     assert h.tolist() == near_pairs.heads(near_pairs.shingle_set(passage)).tolist()
     assert not len(near_pairs.common_shingles(docs.where("doc_id < 0"))[0])
+
+
+def test_simhash_and_bk_trees_propose_and_link_before_the_exact_check(spark, monkeypatch):
+    rng = np.random.default_rng(4)
+    base = [f"w{rng.integers(10**6)}" for _ in range(3000)]
+    texts = [" ".join(base), " ".join([*base, "tail"]), " ".join([*base[:-1], "other"])] + [" ".join(f"x{rng.integers(10**6)}" for _ in range(60)) for _ in range(8)] + [None, " ", "a b"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    sets = [near_pairs.shingle_set(t) for t in texts]
+    bits = [sum(1 << b for b in range(64) if 2 * sum(int(h) >> b & 1 for h in s.view(np.uint64).tolist()) > len(s)) for s in sets]
+    rows = {r.doc_id: r for r in near_pairs.prefixes(docs, near_pairs.common_shingles(docs)).collect()}
+    assert [r.sim % 2**64 for k, r in sorted(rows.items()) if r.sim is not None] == [b for k, b in enumerate(bits) if rows[k].sim is not None]
+    asked, plain = [], near_pairs.simhash_candidates
+    monkeypatch.setattr(near_pairs, "simhash_candidates", lambda fps: asked.append(plain(fps)) or asked[0])
+    left = []
+    monkeypatch.setattr(near_pairs, "apart", lambda pairs, root, f=near_pairs.apart: left.append(f(pairs, root)) or left[0])
+    kept = {r.doc_id for r in corpus_pipeline.near_dedup(spark, docs, "").collect()}
+    assert kept == set(range(len(texts))) - {1, 2, 12}
+    group = {rows[k].fp for k in (0, 1, 2)}
+    assert {f for r in asked[0].collect() for f in (r.a, r.b)} >= group
+    assert not {f for r in left[0].collect() for f in (r.a, r.b)} & group  # linked already
