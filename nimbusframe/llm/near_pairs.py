@@ -42,9 +42,9 @@ RADIUS, WIDTHS = 5, (10, 9, 9, 9, 9, 9, 9)
 #: For the order, shingles are told apart by their first bits, and the sets that have one by so many bits of a hash.
 OWN_BITS, SET_BITS, TALLY = 44, 8, 1_000_000
 #: Entries in a block of documents, in a bucket of shingles and in an Arrow batch; most partitions of buckets; most documents, 16 bytes each, whose keys are broadcast to fetch their sets.
-BLOCK, BUCKET, BATCH, PARTS, ASKED = 500_000, 400_000, 65_536, 20_000, 1_000_000
+BLOCK, BUCKET, BATCH, PARTS, ASKED = 250_000, 200_000, 16_384, 20_000, 1_000_000
 #: Characters of texts that a worker holds at a time.
-CHARS = 1_000_000
+CHARS = 500_000
 
 
 def shingle_set(text: str | None) -> np.ndarray:
