@@ -294,16 +294,14 @@ def went_on(rows: DataFrame, start: Network, state: Descent, groups: int, lift:
         net, own, g = deepcopy(first), deepcopy(began), None
         for about, texts in merged(batches):
             g = about[0]["g"]
-            docs, words, flat, counts = numbered(texts)
+            docs, _, flat, counts = numbered([t for t, a in zip(texts, about, strict=True) if not a["later"]])
             mean = segment(np.add, net.emb[flat], counts) / np.maximum(counts, 1)[:, None]
-            y = np.array([a["y"] for a in about])
-            own.steps(net, docs, y, np.array([k for k, a in enumerate(about) if not a["later"]], dtype=np.int64), flat, counts, lift, mean)
-            form = [bare(w) for w in words]
-            for a, d in zip(about, docs, strict=True):
+            own.steps(net, docs, np.array([a["y"] for a in about if not a["later"]]), np.arange(len(docs)), flat, counts, lift, mean)
+            for a, t in zip(about, texts, strict=True):
                 if a["lang"] is not None:
                     count = seen.setdefault(a["lang"], {b"": 0})
                     count[b""] += 1
-                    for w in {form[k] for k in np.unique(d)} - {b""}:
+                    for w in {bare(w) for w in set(tokens_of(t))} - {b""}:
                         count[w] = count.get(w, 0) + 1
         if g is None:
             return
