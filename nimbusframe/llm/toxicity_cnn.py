@@ -94,9 +94,9 @@ class Network:
         mean = segment(np.add, self.emb[flat], counts) / np.maximum(counts, 1)[:, None]
         mean[[not t for t in tokens]] = 0  # the empty token stands for the padding
         parts = [mean @ f[k] for f in self.filters for k in range(len(f))]
-        none = np.zeros(len(self.langs), dtype=np.float32)
-        votes = np.array([self.votes.get(bare(t), none) for t in tokens], dtype=np.float32).reshape(len(tokens), len(self.langs))
-        return np.concatenate([*parts, votes], axis=1).astype(np.float32)
+        number = {w: k for k, w in enumerate(self.votes, 1)}
+        votes = np.stack([np.zeros(len(self.langs), dtype=np.float32), *self.votes.values()])
+        return np.concatenate([*parts, votes[[number.get(bare(t), 0) for t in tokens]]], axis=1).astype(np.float32)
 
     def pooled(self, rows: np.ndarray, lengths: np.ndarray) -> np.ndarray:
         """Maximum of each filter over each document; 0 for documents without words. PAD rows of padding follow each document."""
