@@ -11,11 +11,10 @@ from pyspark.sql import functions as F
 
 from nimbusframe.functions.georef import overlap_area, point_in_ring
 from nimbusframe.functions.moments import valid
+from nimbusframe.operators.neighbours import met, nearest_in_blocks
 
 #: Weight of a source that coincides with its target.
 COINCIDENT = 1e12
-#: A cell of the neighbour search holds no more sources than so many times those looked for.
-CROWD = 32
 
 
 def settled(df: DataFrame) -> DataFrame:
@@ -33,64 +32,20 @@ def settled(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def knn(targets: DataFrame, sources: DataFrame, k: int, per_cell: float = 4.0, dims: tuple[str, ...] = ("x", "y")) -> DataFrame:
+def knn(targets: DataFrame, sources: DataFrame, k: int, dims: tuple[str, ...] = ("x", "y")) -> DataFrame:
     """The k nearest sources of every target: trg_id, rank (1 is nearest), src_id, d2.
 
-    ``targets`` has trg_id and the coordinates ``dims``; ``sources`` has src_id and them. Ties go to the smaller src_id. Points are
-    put into cells with no more than ``CROWD`` times ``per_cell`` sources in the fullest, so clusters don't crowd one cell; a target meets the
-    sources of the cells around its own in an equi-join. A target whose k-th neighbour may lie outside them goes on to a ring
-    twice as wide; as rings grow the number of targets left falls, and the search ends when
-    a ring spans all sources. Nothing is broadcast and no pair outside the rings is formed. Points with a missing coordinate are
-    left out on both sides.
+    ``targets`` has trg_id and the coordinates ``dims``; ``sources`` has src_id and them. Ties go to the smaller src_id. Sources are
+    dealt into blocks of bounded size; a target is searched in its own block, then in those that may hold nearer ones.
+    Nothing that grows with the data is broadcast. Points with a missing coordinate are left out on both sides.
     """
     there = lambda df: df.where(" and ".join(f"{c} is not null and not isnan({c})" for c in dims))
     trg = there(targets.select("trg_id", *[F.col(c).cast("double").alias(c) for c in dims]))
-    src = there(sources.select("src_id", *[F.col(c).cast("double").alias(c) for c in dims])).select("src_id", *[F.col(c).alias(f"s{c}") for c in dims])
-    ends = [f(c).alias(f"{n}_{c}") for c in dims for n, f in (("low", F.min), ("high", F.max))]
-    box = src.select(*[F.col(f"s{c}").alias(c) for c in dims]).agg(F.count("*").alias("n"), *ends).first()
-    t = trg.agg(*ends).first()
-    n = box["n"]
-    if not n or t[f"low_{dims[0]}"] is None:
+    src = there(sources.select("src_id", *[F.col(c).cast("double").alias(c) for c in dims]))
+    n = src.count()
+    if not n or trg.isEmpty():
         return targets.sparkSession.createDataFrame([], "trg_id long, rank int, src_id long, d2 double")
-    widths = [box[f"high_{c}"] - box[f"low_{c}"] for c in dims]
-    wide = max(*widths, 1e-9)
-    space = math.prod(max(w, wide / max(n, 1)) for w in widths)
-    least = wide / 1e6
-    size = max((space * max(k, per_cell) / n) ** (1 / len(dims)), least)
-    while size > least:
-        fullest = src.groupBy(*[F.floor(F.col(f"s{c}") / size) for c in dims]).agg(F.count("*").alias("n")).agg(F.max("n")).first()[0]
-        if fullest <= CROWD * max(k, per_cell):
-            break
-        size = max(size / 4, least)
-    out, ring, left = None, 1, trg
-    # Farthest a target can be from the box of the sources, in cells.
-    reach = max(abs(box[f"{a}_{c}"] - t[f"{b}_{c}"]) for c in dims for a, b in (("high", "low"), ("low", "high"))) / size + 2
-    shifts = [()]
-    for _ in dims:
-        shifts = [(*x, i) for x in shifts for i in (-1, 0, 1)]
-    keys = [f"c{c}" for c in dims]
-    while True:
-        # A ring wider than a few cells is walked on coarser cells, so that a target looks at its own and those next to it only.
-        coarse = size * ring
-        around = [F.struct(*[(F.floor(F.col(c) / coarse) + i).alias(f"c{c}") for c, i in zip(dims, shift, strict=True)]) for shift in shifts]
-        cells = left.select("*", F.explode(F.array(*around)).alias("c")).select("trg_id", *dims, "c.*")
-        s = src.select("*", *[F.floor(F.col(f"s{c}") / coarse).alias(f"c{c}") for c in dims])
-        d2 = sum((F.pow(F.col(c) - F.col(f"s{c}"), F.lit(2.0)) for c in dims), F.lit(0.0))
-        pairs = cells.join(s, keys).select("trg_id", "src_id", d2.alias("d2"))
-        ranked = pairs.withColumn("rank", F.row_number().over(Window.partitionBy("trg_id").orderBy("d2", "src_id"))).where(F.col("rank") <= k)
-        final = ring >= reach
-        if not final:
-            ranked = settled(ranked)  # read twice, and the next round must not carry this one's plan
-            done = ranked.groupBy("trg_id").agg(F.count("*").alias("m"), F.max("d2").alias("far")).where((F.col("m") >= min(k, n)) & (F.col("far") <= (coarse * coarse))).select("trg_id")
-            found = ranked.join(done, "trg_id", "left_semi")
-            rest = settled(left.join(done, "trg_id", "left_anti"))
-        else:
-            found, rest = ranked, None
-        found = found.select("trg_id", F.col("rank").cast("int").alias("rank"), "src_id", "d2")
-        out = found if out is None else out.unionByName(found)
-        if final or rest.isEmpty():
-            return out
-        left, ring = rest, ring * 2
+    return nearest_in_blocks(trg, src, k, dims, n, settled)
 
 
 def idw_weight(d2: Column, p: float = 2.0, maxdist: float | None = None) -> Column:
@@ -103,7 +58,7 @@ def idw(neighbours: DataFrame, values: DataFrame, fields: list[str], p: float =
 
     A missing value makes the result missing unless ``remove_missing``.
     """
-    j = neighbours.join(values.select("src_id", *fields), "src_id").withColumn("__w", idw_weight(F.col("d2"), p, maxdist))
+    j = met(neighbours, values.select("src_id", *fields), "src_id").withColumn("__w", idw_weight(F.col("d2"), p, maxdist))
 
     def mean(f: str) -> Column:
         m = F.try_divide(F.sum(F.col("__w") * F.col(f)), F.sum(F.when(F.col(f).isNotNull(), F.col("__w"))))
@@ -114,7 +69,7 @@ def idw(neighbours: DataFrame, values: DataFrame, fields: list[str], p: float =
 
 def nearest(neighbours: DataFrame, values: DataFrame, fields: list[str], maxdist: float | None = None) -> DataFrame:
     """The value of the nearest source that has one, for each field."""
-    j = neighbours.join(values.select("src_id", *fields), "src_id")
+    j = met(neighbours, values.select("src_id", *fields), "src_id")
     take = lambda f: F.min_by(F.when(F.lit(True) if maxdist is None else F.col("d2") <= maxdist * maxdist, F.col(f)), F.when(F.col(f).isNotNull(), F.struct("d2", "src_id"))).alias(f)
     return j.groupBy("trg_id").agg(*[take(f) for f in fields])
 
@@ -125,14 +80,14 @@ def nearest(neighbours: DataFrame, values: DataFrame, fields: list[str], maxdist
 def raw_at_gauges(gauges: DataFrame, raw: DataFrame, nnear: int = 9, stat: str = "median") -> DataFrame:
     """k and rawatobs: a statistic of the nnear raw values around each gauge; "best" takes the one closest to obs."""
     near = knn(gauges.select(F.col("k").alias("trg_id"), "x", "y"), raw.select(F.col("pt").alias("src_id"), "x", "y"), nnear)
-    j = near.join(raw.select(F.col("pt").alias("src_id"), "raw"), "src_id").join(gauges.select(F.col("k").alias("trg_id"), "obs"), "trg_id")
+    j = met(met(near, raw.select(F.col("pt").alias("src_id"), "raw"), "src_id"), gauges.select(F.col("k").alias("trg_id"), "obs"), "trg_id")
     value = {"median": F.median("raw"), "mean": F.avg("raw"), "min": F.min("raw"), "max": F.max("raw"), "best": F.min_by("raw", F.struct(F.abs(F.col("raw") - F.col("obs")), "rank"))}[stat]
     return j.groupBy(F.col("trg_id").alias("k")).agg(value.alias("rawatobs"))
 
 
 def valid_pairs(gauges: DataFrame, raw: DataFrame, nnear: int = 9, stat: str = "median", minval: float = 0.0) -> DataFrame:
     """Gauges whose observation and raw value are both valid: k, x, y, obs, rawatobs."""
-    j = gauges.join(raw_at_gauges(gauges, raw, nnear, stat), "k")
+    j = met(gauges, raw_at_gauges(gauges, raw, nnear, stat), "k")
     return j.where(valid("obs", minval).isNotNull() & valid("rawatobs", minval).isNotNull()).select("k", "x", "y", "obs", "rawatobs")
 
 
@@ -141,8 +96,10 @@ def adjust(kind: str, gauges: DataFrame, raw: DataFrame, nnear_raws: int = 9, st
 
     With fewer than ``mingages`` valid gauges the raw values come back.
     """
-    pairs = valid_pairs(gauges, raw, nnear_raws, stat, minval).cache()
-    if kind == "none" or pairs.count() < mingages:
+    if kind == "none":
+        return raw.withColumn("adjusted", F.col("raw").cast("double"))
+    pairs = settled(valid_pairs(gauges, raw, nnear_raws, stat, minval))
+    if pairs.count() < mingages:
         return raw.withColumn("adjusted", F.col("raw").cast("double"))
     e = F.try_divide(F.col("obs") - F.col("rawatobs"), F.pow("rawatobs", F.lit(2.0)) + 1.0)
     errors = {"add": {"e": F.col("obs") - F.col("rawatobs")}, "multiply": {"e": F.try_divide(F.col("obs"), F.col("rawatobs"))}, "mixed": {"e": e, "d": F.try_divide(F.col("obs") - e, F.col("rawatobs")) - 1.0}, "gage_only": {"e": F.col("obs")}}[kind]
@@ -151,7 +108,7 @@ def adjust(kind: str, gauges: DataFrame, raw: DataFrame, nnear_raws: int = 9, st
     field = idw(near, source, list(errors), p).withColumnRenamed("trg_id", "pt")
     out = {"add": F.greatest(F.col("raw") + F.col("e"), F.lit(0.0)), "multiply": F.col("raw") * F.col("e"), "gage_only": F.col("e")}
     value = (1.0 + F.col("d")) * F.col("raw") + F.col("e") if kind == "mixed" else out[kind]
-    return raw.join(field, "pt", "left").withColumn("adjusted", value).drop(*errors)
+    return met(raw, field, "pt", "left").withColumn("adjusted", value).drop(*errors)
 
 
 def adjust_mfb(gauges: DataFrame, raw: DataFrame, method: str = "mean", nnear_raws: int = 9, stat: str = "median", mingages: int = 5, minval: float = 0.0, minslope: float = 0.1, minr: float = 0.5, maxp: float = 0.01) -> DataFrame:
@@ -197,16 +154,16 @@ def cross_validate(gauges: DataFrame, raw: DataFrame, nnear_raws: int = 9, stat:
     One job: each gauge looks for nnearest + 1 gauges and leaves itself out.
     """
     direct = raw_at_gauges(gauges, raw, 1, "mean").withColumnRenamed("rawatobs", "direct")
-    pairs = valid_pairs(gauges, raw, nnear_raws, stat, minval).join(direct, "k").where(valid("direct", minval).isNotNull()).cache()
+    pairs = settled(met(valid_pairs(gauges, raw, nnear_raws, stat, minval), direct, "k").where(valid("direct", minval).isNotNull()))
     if pairs.count() < mingages:
         return gauges.select("k", "obs", F.lit(None).cast("double").alias("est"))
     at = pairs.select(F.col("k").alias("src_id"), "x", "y", (F.col("obs") - F.col("rawatobs")).alias("e"))
     near = knn(at.select(F.col("src_id").alias("trg_id"), "x", "y"), at.select("src_id", "x", "y"), nnearest + 1).where("src_id <> trg_id")
     near = near.withColumn("rank", F.row_number().over(Window.partitionBy("trg_id").orderBy("d2", "src_id"))).where(F.col("rank") <= nnearest)
     if pairs.count() - 1 < mingages:  # each gauge is estimated from the others, which are too few: its raw value stands
-        return gauges.select("k", "obs").join(pairs.select("k", F.col("direct").cast("double").alias("est")), "k", "left")
-    est = idw(near, at, ["e"], p).join(pairs.select(F.col("k").alias("trg_id"), "direct"), "trg_id")
-    return gauges.select("k", "obs").join(est.select(F.col("trg_id").alias("k"), F.greatest(F.col("direct") + F.col("e"), F.lit(0.0)).alias("est")), "k", "left")
+        return met(gauges.select("k", "obs"), pairs.select("k", F.col("direct").cast("double").alias("est")), "k", "left")
+    est = met(idw(near, at, ["e"], p), pairs.select(F.col("k").alias("trg_id"), "direct"), "trg_id")
+    return met(gauges.select("k", "obs"), est.select(F.col("trg_id").alias("k"), F.greatest(F.col("direct") + F.col("e"), F.lit(0.0)).alias("est")), "k", "left")
 
 
 # compositing and gridding
@@ -236,7 +193,7 @@ def bilinear(grid: DataFrame, points: DataFrame, x0: float, y0: float, dx: float
     p = points.select("id", F.floor(fx).alias("c"), F.floor(fy).alias("r"), (fx - F.floor(fx)).alias("u"), (fy - F.floor(fy)).alias("v"))
     corner = [F.struct((F.col("c") + i).alias("col"), (F.col("r") + j).alias("row"), ((F.col("u") if i else 1 - F.col("u")) * (F.col("v") if j else 1 - F.col("v"))).alias("w")) for i in (0, 1) for j in (0, 1)]
     e = p.select("id", F.explode(F.array(*corner)).alias("n")).select("id", "n.*").where(F.col("w") > 0)
-    j = e.join(grid.select("col", "row", "value"), ["col", "row"], "left")
+    j = met(e, grid.select("col", "row", "value"), ["col", "row"], "left")
     return j.groupBy("id").agg(F.when(F.count_if(F.col("value").isNull()) == 0, F.sum(F.col("w") * F.col("value"))).alias("value"))
 
 
@@ -253,7 +210,7 @@ def fill_polar(df: DataFrame, value: str, n_rays: int, k: int = 1, p: float = 2.
     gaps = at.where("v is null").select(F.col("id").alias("trg_id"), "x", "y")
     near = knn(gaps, known, k)
     got = (nearest(near, known, ["v"]) if k == 1 else idw(near, known, ["v"], p)).select(F.col("trg_id").alias("id"), F.col("v").alias("f"))
-    return at.join(got, "id", "left").select("ray", "bin", F.coalesce("v", "f").alias(value))
+    return met(at, got, "id", "left").select("ray", "bin", F.coalesce("v", "f").alias(value))
 
 
 def within_radius(x0: float, y0: float, radius: float) -> Column:
@@ -365,9 +322,9 @@ def ordinary_kriging(neighbours: DataFrame, sources: DataFrame, field: str, sill
     import numpy as np
 
     own = F.col("drift").cast("double") if drift is not None else F.lit(None).cast("double")
-    packed = neighbours.join(sources.select("src_id", F.col("x").alias("sx"), F.col("y").alias("sy"), F.col(field).alias("v"), own.alias("sd")), "src_id").groupBy("trg_id").agg(F.array_sort(F.collect_list(F.struct("rank", "d2", "sx", "sy", "v", "sd"))).alias("near"))
+    packed = met(neighbours, sources.select("src_id", F.col("x").alias("sx"), F.col("y").alias("sy"), F.col(field).alias("v"), own.alias("sd")), "src_id").groupBy("trg_id").agg(F.array_sort(F.collect_list(F.struct("rank", "d2", "sx", "sy", "v", "sd"))).alias("near"))
     flat = packed.select("trg_id", *[F.col("near")[n].cast("array<double>").alias(n) for n in ("d2", "sx", "sy", "v", "sd")])
-    flat = flat.join(drift.select("trg_id", F.col("drift").cast("double").alias("td")), "trg_id") if drift is not None else flat.withColumn("td", F.lit(None).cast("double"))
+    flat = met(flat, drift.select("trg_id", F.col("drift").cast("double").alias("td")), "trg_id") if drift is not None else flat.withColumn("td", F.lit(None).cast("double"))
     drifting = drift is not None
 
     def solve(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
