@@ -131,11 +131,11 @@ def gradient(v: Column, keys: list[str]) -> Column:
 
 def fill_linear(v: Column, keys: list[str]) -> Column:
     """Linear interpolation of nulls along the ray; 0 beyond the outermost values and on rays that have fewer than two."""
-    w = along(keys)
-    before, after = w.rowsBetween(Window.unboundedPreceding, 0), w.rowsBetween(0, Window.unboundedFollowing)
+    before = along(keys).rowsBetween(Window.unboundedPreceding, 0)
+    after = Window.partitionBy(*keys, "ray").orderBy(F.desc("bin")).rowsBetween(Window.unboundedPreceding, 0)  # backwards: Spark goes through an open following frame anew for each row
     at = F.when(v.isNotNull(), F.col("bin"))
     v0, b0 = F.last(v, True).over(before), F.last(at, True).over(before)
-    v1, b1 = F.first(v, True).over(after), F.first(at, True).over(after)
+    v1, b1 = F.last(v, True).over(after), F.last(at, True).over(after)
     return F.coalesce(v, v0 + (v1 - v0) * F.try_divide(F.col("bin") - b0, b1 - b0), F.lit(0.0))
 
 
