@@ -202,15 +202,20 @@ def z_to_r_enhanced(df: DataFrame, z: str, keys: list[str], n_rays: int = 360) -
 def similar_neighbours(df: DataFrame, value: str, keys: list[str], n_rays: int, n_bins: int, wsize: int = 5, tr1: float = 6.0) -> DataFrame:
     """Adds ``similar``: how many gates of the window, itself excepted, are above the gate's value minus tr1.
 
-    Both axes wrap; the first and last wsize // 2 ranges get wsize squared.
+    Rays wrap; the first and last wsize // 2 ranges get wsize squared. A gate goes to the rays around its own, what is near along the
+    range comes from windows. The gates of a ray must have different bins.
     """
     h = wsize // 2
-    span = F.sequence(F.lit(-h), F.lit(h))
-    sent = df.select(*keys, "ray", "bin", F.col(value).alias("__nb"), F.explode(span).alias("da")).select(*keys, F.pmod(F.col("ray") + F.col("da"), F.lit(n_rays)).alias("ray"), "bin", "__nb", F.explode(span).alias("db"))
-    sent = sent.select(*keys, "ray", F.pmod(F.col("bin") + F.col("db"), F.lit(n_bins)).alias("bin"), "__nb")
-    hits = df.select(*keys, "ray", "bin", F.col(value).alias("__v")).join(sent, [*keys, "ray", "bin"]).groupBy(*keys, "ray", "bin").agg((F.count_if(F.col("__v") - F.col("__nb") < tr1) - 1).alias("__n"))
+    sent = df.select(*keys, "ray", "bin", F.col(value).alias("v"), F.explode(F.sequence(F.lit(-h), F.lit(h))).alias("da")).select(*keys, F.pmod(F.col("ray") + F.col("da"), F.lit(n_rays)).alias("ray"), "bin", "da", "v")
+    columns = [f"__{k}" for k in range(wsize)]
+    stacked = sent.groupBy(*keys, "ray", "bin").agg(*[F.max(F.when(F.col("da") == k - h, F.col("v"))).alias(c) for k, c in enumerate(columns)])
+    w = along(keys)
+    # Bins differ, so those at most h away are among the h rows before and behind.
+    ahead = lambda c, k: F.when(F.abs(F.lag("bin", -k).over(w) - F.col("bin")) <= h, F.lag(c, -k).over(w)) if k else F.col(c)
+    hit = lambda v: F.coalesce((F.col(f"__{h}") - v < tr1).cast("long"), F.lit(0).cast("long"))
+    hits = stacked.select(*keys, "ray", "bin", (sum((hit(ahead(c, k)) for c in columns for k in range(-h, h + 1)), F.lit(0)) - 1).alias("__n"))
     edge = (F.col("bin") < h) | (F.col("bin") >= n_bins - h)
-    return df.join(hits, [*keys, "ray", "bin"], "left").withColumn("similar", F.when(edge, F.lit(wsize * wsize).cast("long")).otherwise(F.coalesce("__n", F.lit(-1).cast("long")))).drop("__n")
+    return df.join(hits.hint("merge"), [*keys, "ray", "bin"], "left").withColumn("similar", F.when(edge, F.lit(wsize * wsize).cast("long")).otherwise(F.coalesce("__n", F.lit(-1).cast("long")))).drop("__n")
 
 
 # system phase
