@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from nimbusframe.functions import georef as G
+from nimbusframe.operators.neighbours import met
 from nimbusframe.operators.rays import along, gradient
 
 #: Fixed values of the composite grids by (rows, columns): first column's and row's offset from the reference point, and resolution, in km.
@@ -106,9 +107,9 @@ def merged_rasters(cells: DataFrame, order: str = "source") -> DataFrame:
 
 
 def chained(results: list[DataFrame], key: str, field: str) -> DataFrame:
-    """The first result's field, and where it is null the next one's, for the first result's keys."""
+    """The first result's field, and where it is null the next one's, for the first result's keys; a key may stand once in each."""
     named = [r.select(key, F.col(field).alias(f"__{n}")) for n, r in enumerate(results)]
-    j = reduce(lambda a, b: a.join(b, key, "left"), named)
+    j = reduce(lambda a, b: met(a, b, key, "left"), named)
     return j.select(key, F.coalesce(*[f"__{n}" for n in range(len(results))]).alias(field))
 
 

@@ -136,9 +136,9 @@ register("flipped_raster", lambda s, d: D.flipped(D.merged_rasters(_cells(s, d))
 
 
 def _chain(s: SparkSession, d: str) -> DataFrame:
-    v = sweep(s, d).withColumn("id", F.col("ray") * 1000 + F.col("bin"))
-    each = [v.select("id", F.when(F.col("dbz") > low, F.col("dbz") + add).alias("v")) for low, add in ((40, 0.0), (20, 100.0), (10, 200.0))]
-    return D.chained(each, "id", "v").select("id", r6(F.col("v"), "v"))
+    v = sweep(s, d).withColumn("gate", F.struct("ray", "bin"))  # the id of the result isn't one gate's where rays are long
+    each = [v.select("gate", F.when(F.col("dbz") > low, F.col("dbz") + add).alias("v")) for low, add in ((40, 0.0), (20, 100.0), (10, 200.0))]
+    return D.chained(each, "gate", "v").select((F.col("gate.ray") * 1000 + F.col("gate.bin")).alias("id"), r6(F.col("v"), "v"))
 
 
 register("interpolation_chain", _chain, f"WITH {SQL['sw']} SELECT ray*1000+bin AS id, {q6('CASE WHEN dbz > 40 THEN dbz WHEN dbz > 20 THEN dbz+100 WHEN dbz > 10 THEN dbz+200 END', 'v')} FROM sw")
