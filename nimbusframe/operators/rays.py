@@ -7,6 +7,9 @@ the edge rays, which keeps everything in one window shuffle. No operator gathers
 
 from __future__ import annotations
 
+import math
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -292,18 +295,35 @@ def specific_attenuation_zphi(df: DataFrame, phi: str, dbz: str, keys: list[str]
 
 def packed(df: DataFrame, value: str, keys: list[str]) -> DataFrame:
     """One row per ray with its values in an array by bin."""
-    return df.groupBy(*keys, "ray").agg(F.transform(F.array_sort(F.collect_list(F.struct("bin", F.col(value).alias("v")))), lambda s: s["v"]).alias("values"))
+    return df.groupBy(*keys, "ray").agg(F.transform(F.sort_array(F.collect_list(F.struct("bin", F.col(value).alias("v")))), lambda s: s["v"]).alias("values"))
+
+
+def forward(z: list[float | None], a: float, b: float, dr: float) -> list[float | None]:
+    """Two-way attenuation up to each gate of one ray; without a value all gates beyond have none. Too large a sum is infinite."""
+    p, out = 0.0, [0.0]
+    add = out.append
+    for k, v in enumerate(z[:-1], 1):
+        if v is None:
+            return out + [None] * (len(z) - k)
+        try:
+            p = p + a * (10.0 ** ((v + p) / 10.0)) ** b * 2.0 * dr
+        except OverflowError:
+            p = math.inf
+        add(p)
+    return out
 
 
 def attenuation_forward(values: Column, a: float = 1.67e-4, b: float = 0.7, gate_length: float = 1.0) -> Column:
-    """Two-way attenuation up to each gate of an array of dBZ, gate by gate."""
-    zero = F.array(F.lit(0.0))
+    """Two-way attenuation up to each gate of an array of dBZ, gate by gate.
+
+    Spark can continue an array only by a copy of it, so the loop runs in Python, on one ray at a time.
+    """
 
-    def step(pia: Column, z: Column) -> Column:
-        last = F.element_at(pia, -1)
-        return F.concat(pia, F.array(last + a * F.pow(F.pow(F.lit(10.0), (z + last) / 10.0), F.lit(b)) * 2.0 * gate_length))
+    @F.arrow_udf("array<double>")
+    def run(rays: pa.Array) -> pa.Array:
+        return pa.array((None if r is None else forward(r, a, b, gate_length) for r in (x.as_py() for x in rays)), pa.list_(pa.float64()))
 
-    return F.aggregate(F.slice(values, F.lit(1), F.greatest(F.size(values) - 1, F.lit(0))), zero, step)
+    return run(values.cast("array<double>"))
 
 
 def attenuation_overflow(values: Column, pia: Column, threshold: float = 59.0, mode: str = "nan") -> Column:
