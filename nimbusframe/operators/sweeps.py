@@ -11,13 +11,17 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from nimbusframe.operators.neighbours import met
 from nimbusframe.operators.rays import packed, similar_neighbours
+from nimbusframe.operators.spatial import settled
 
 #: Most rounds of a bisection; a ray that has not met its reference by then has null coefficients.
 MOST_ROUNDS = 500
+#: Bins of a strip in which one task looks for rain cells.
+STRIP = 2048
 
 
 def forward(z: np.ndarray, a: np.ndarray | float, b: np.ndarray | float, dr: float) -> np.ndarray:
@@ -160,25 +164,72 @@ def cell_ratio(v: np.ndarray, threshold: float) -> np.ndarray:
         return (area / border)[number]
 
 
+def joined(pairs: pd.DataFrame) -> np.ndarray:
+    """A number for each end of the pairs (one, other), the same for all that hang together: those of ``one``, then those of ``other``."""
+    name, at = np.unique(np.concatenate([pairs["one"], pairs["other"]]), return_inverse=True)
+    x, y = at[: len(pairs)], at[len(pairs) :]
+    root = np.arange(len(name))
+    while True:
+        p, q = root[x], root[y]
+        if (p == q).all():
+            return root[at]
+        np.minimum.at(root, np.maximum(p, q), np.minimum(p, q))
+        while (root[root] != root).any():
+            root = root[root]
+
+
 def rain_cells(df: DataFrame, value: str, keys: list[str], threshold: float = 0.0) -> DataFrame:
     """keys, ray, bin and ``ratio``: area over border gates of the cell above the threshold that a gate is in.
 
     Cells are 8-connected and don't wrap; gates past the edges count as dry. Null gates count as rain. The
-    ratio is null where there is no border at all. A sweep is worked on as one table of rays by bins.
-    """
-    names = [*keys, "ray", "bin"]
-    schema = ", ".join(f"{n} {df.schema[n].dataType.simpleString()}" for n in names) + ", ratio double"
+    ratio is null where there is no border at all. Dry gates share one ratio: their number, with gates that are missing, over minus all border gates.
 
-    def run(g: pd.DataFrame) -> pd.DataFrame:
-        rays, i = np.unique(g["ray"], return_inverse=True)
-        bins, j = np.unique(g["bin"], return_inverse=True)
-        v = np.full((len(rays), len(bins)), -np.inf)
+    Cells are found in strips of bins, each with the nearest bin of the strips beside it; what is one cell across strips is told by
+    the gates that two strips have. These few links of a sweep are one task's table.
+    """
+    names, by = [*keys, "ray", "bin"], [*keys, "__s"]
+    full = df.select(*names, F.coalesce(F.col(value).cast("double"), F.lit(float("inf"))).alias("__v")).withColumns({"__s": F.lit(0), "__t": F.floor(F.col("bin") / STRIP).cast("long")})
+    ranks = full.select(*by, "ray").distinct().withColumn("__r", F.row_number().over(Window.partitionBy(*by).orderBy("ray")))
+    beside = Window.partitionBy(*by).orderBy("__t")
+    strips = full.groupBy(*by, "__t").agg(F.min("bin").alias("__low"), F.max("bin").alias("__high")).withColumns({"__before": F.lag("__t").over(beside), "__after": F.lead("__t").over(beside)})
+    edge = ((F.col("bin") == F.col("__low")) & F.col("__before").isNotNull()) | ((F.col("bin") == F.col("__high")) & F.col("__after").isNotNull())
+    goes = F.array(F.col("__t"), F.when(F.col("bin") == F.col("__low"), F.col("__before")), F.when(F.col("bin") == F.col("__high"), F.col("__after")))
+    sent = full.join(ranks, [*by, "ray"]).join(strips, [*by, "__t"]).select(*by, "ray", "bin", "__v", "__r", edge.alias("__edge"), F.col("__t").alias("__own"), F.explode(F.filter(goes, lambda t: t.isNotNull())).alias("__t"))
+    sent = sent.withColumn("__own", F.col("__own") == F.col("__t"))
+    schema = ", ".join(f"{n} {sent.schema[n].dataType.simpleString()}" for n in [*by, "ray", "bin", "__t", "__own", "__edge"]) + ", __c long, __b boolean, __area double, __border double"
+
+    def label(g: pd.DataFrame) -> pd.DataFrame:
+        i = (g["__r"] - g["__r"].min()).to_numpy()
+        j = np.unique(g["bin"], return_inverse=True)[1]
+        v = np.full((i.max() + 1, j.max() + 1), -np.inf)
         v[i, j] = g["__v"]
-        ratio = cell_ratio(v, threshold)[i, j]
-        return g[names].assign(ratio=np.where(np.isfinite(ratio), ratio, np.nan))
-
-    full = df.select(*names, F.coalesce(F.col(value).cast("double"), F.lit(float("inf"))).alias("__v"))
-    return full.groupBy(*keys).applyInPandas(run, schema).withColumn("ratio", F.nanvl("ratio", F.lit(None)))
+        on = v > threshold
+        wide = np.pad(on, 1)
+        inner = np.logical_and.reduce([wide[x : x + on.shape[0], y : y + on.shape[1]] for x in range(3) for y in range(3)])
+        c, b, own = cell_numbers(on)[i, j], (on & ~inner)[i, j], g["__own"].to_numpy()
+        area, border = (np.bincount(c, weights=own & w)[c] for w in (True, b))
+        return g[[*by, "ray", "bin", "__t", "__own", "__edge"]].assign(__c=c, __b=b, __area=area, __border=border)
+
+    found = settled(sent.groupBy(*by, "__t").applyInPandas(label, schema))
+
+    def unite(g: pd.DataFrame) -> pd.DataFrame:
+        root = joined(g)
+        ends = pd.DataFrame({"__id": np.concatenate([g["one"], g["other"]]), "__root": root}).drop_duplicates()
+        return ends.assign(**{n: g[n].iloc[0] for n in by})[[*by, "__id", "__root"]]
+
+    number = (F.col("__t") * F.lit(1 << 32) + F.col("__c")).alias("__id")
+    shared = found.where("__edge and __c > 0").select(*by, "ray", "bin", "__own", number)
+    pairs = shared.where("__own").withColumnRenamed("__id", "one").drop("__own").join(shared.where("not __own").withColumnRenamed("__id", "other").drop("__own").hint("merge"), [*by, "ray", "bin"]).select(*by, "one", "other").distinct()
+    roots = pairs.groupBy(*by).applyInPandas(unite, ", ".join(f"{n} {sent.schema[n].dataType.simpleString()}" for n in by) + ", __id long, __root long")
+    parts = found.where("__c > 0").select(*by, number, "__area", "__border").join(roots, [*by, "__id"]).distinct()
+    whole = parts.groupBy(*by, "__root").agg(F.sum("__area").alias("__whole"), F.sum("__border").alias("__rim"))
+    across = parts.select(*by, "__id", "__root").join(whole, [*by, "__root"]).drop("__root")
+    size = full.groupBy(*by).agg((F.count_distinct("ray") * F.count_distinct("bin")).alias("__n"))
+    rim = found.where("__own").groupBy(*by).agg(F.count_if(F.col("__c") > 0).alias("__on"), F.count_if("__b").alias("__b"))
+    dry = size.join(rim, by).select(*by, F.try_divide((F.col("__n") - F.col("__on")).cast("double"), -F.col("__b").cast("double")).alias("__dry"))
+    own = found.where("__own").select(*by, "ray", "bin", "__c", number, "__area", "__border").join(across, [*by, "__id"], "left").join(dry, by)
+    ratio = F.when(F.col("__c") == 0, F.col("__dry")).otherwise(F.try_divide(F.coalesce("__whole", "__area"), F.coalesce("__rim", "__border")))
+    return own.select(*names, ratio.alias("ratio"))
 
 
 def clutter(df: DataFrame, value: str, keys: list[str], n_rays: int, n_bins: int, wsize: int = 5, threshold: float = 0.0, tr1: float = 6.0, n_p: int = 6, tr2: float = 1.3) -> DataFrame:
@@ -187,4 +238,4 @@ def clutter(df: DataFrame, value: str, keys: list[str], n_rays: int, n_bins: int
     near = similar_neighbours(full, "__full", keys, n_rays, n_bins, wsize, tr1)
     cells = rain_cells(df, value, keys, threshold)
     speckle: Column = F.coalesce(F.abs("ratio") < tr2, F.lit(False))
-    return near.join(cells, [*keys, "ray", "bin"]).withColumn("clutter", (F.col("similar") < n_p) | speckle).drop("__full", "similar", "ratio")
+    return met(near, cells, [*keys, "ray", "bin"]).withColumn("clutter", (F.col("similar") < n_p) | speckle).drop("__full", "similar", "ratio")

@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from nimbusframe.functions import georef
-from nimbusframe.operators import neighbours, spatial
+from nimbusframe.operators import neighbours, spatial, sweeps
 from nimbusframe.operators import rays as R
 from nimbusframe.plans import catalogue, more
 
@@ -119,3 +119,18 @@ def test_attenuation_of_long_rays_takes_linear_time(spark):
     assert got == pytest.approx(p, rel=1e-9)
     assert took < 20
     assert [r.p for r in spark.sql("SELECT array(1D) AS v UNION ALL SELECT cast(array() as array<double>) UNION ALL SELECT NULL").select(R.attenuation_forward(F.col("v")).alias("p")).collect()] == [[0.0], [0.0], None]
+
+
+def test_rain_cells_across_strips(spark, monkeypatch):
+    """A sweep cut into strips has the cells of the whole; bins and rays without any gate are as if they weren't there."""
+    rng = np.random.default_rng(11)
+    v = rng.random((14, 60))
+    gone = rng.random(v.shape) < 0.05
+    gone[:, [6, 7, 8, 9, 21]] = gone[4] = True
+    df = spark.createDataFrame([(k, i, j, float(v[i, j] + k / 10)) for k in (0, 1) for i, j in np.ndindex(v.shape) if not gone[i, j]], "sweep int, ray int, bin int, v double")
+    got = []
+    for width in (4096, 3):
+        monkeypatch.setattr(sweeps, "STRIP", width)
+        got.append({(r.sweep, r.ray, r.bin): r.ratio for r in sweeps.rain_cells(df, "v", ["sweep"], 0.6).collect()})
+    assert got[0] == got[1]
+    assert len(got[0]) == 2 * (~gone).sum()
